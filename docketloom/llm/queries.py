@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketloom.llm import neighbours
+from docketloom.llm import mixing, neighbours, packing, quality
 from docketloom.sources.tables import table
 
 
@@ -16,8 +16,24 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return kind(chunk, "judgment").unionByName(kind(section, "statute"))
 
 
+def p6_pack(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_texts(spark, table(spark, folder, "documents"))
+
+
+def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(spark, table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.not_prose(quality.quality(spark, table(spark, folder, "documents"), table(spark, folder, "common_words"), table(spark, folder, "doc_labels")))
+
+
+def p8_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality(spark, table(spark, folder, "documents"), table(spark, folder, "common_words"), table(spark, folder, "doc_labels"))
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found}
+    return {"p8_found": p8_found, "p8_quality": p8_quality, "p1_found": p1_found, "p6_pack": p6_pack, "p7_mix": p7_mix}
 
 
 def oracle_sql() -> dict[str, str]:
