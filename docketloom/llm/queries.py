@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketloom.llm import mixing, neighbours, packing, quality
+from docketloom.llm import mixing, near_duplicates, neighbours, packing, quality
 from docketloom.sources.tables import table
 
 
@@ -24,6 +24,14 @@ def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(spark, table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates.all_pairs(*near_duplicates.near_duplicates(spark, table(spark, folder, "judgments")))
+
+
+def p3_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates.groups(spark, *near_duplicates.near_duplicates(spark, table(spark, folder, "judgments")))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return quality.not_prose(quality.quality(spark, table(spark, folder, "documents"), table(spark, folder, "common_words"), table(spark, folder, "doc_labels")))
 
@@ -33,7 +41,7 @@ def p8_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p8_found": p8_found, "p8_quality": p8_quality, "p1_found": p1_found, "p6_pack": p6_pack, "p7_mix": p7_mix}
+    return {"p3_found": p3_found, "p3_groups": p3_groups, "p8_found": p8_found, "p8_quality": p8_quality, "p1_found": p1_found, "p6_pack": p6_pack, "p7_mix": p7_mix}
 
 
 def oracle_sql() -> dict[str, str]:
