@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketloom.llm import mixing, near_duplicates, neighbours, packing, quality
+from docketloom.llm import mixing, near_duplicates, neighbours, packing, quality, splitting
 from docketloom.sources.tables import table
 
 
@@ -32,6 +32,18 @@ def p3_groups(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.groups(spark, *near_duplicates.near_duplicates(spark, table(spark, folder, "judgments")))
 
 
+def _long_texts(spark: SparkSession, folder: str) -> list[tuple]:
+    return [(table(spark, folder, "judgments"), "judgment", "id", "judgment_text", None), (table(spark, folder, "judgment_chunks"), "chunk", "chunk_id", "content", "section")]
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return splitting.paragraph_starts(spark, _long_texts(spark, folder))
+
+
+def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return splitting.pieces(spark, _long_texts(spark, folder))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return quality.not_prose(quality.quality(spark, table(spark, folder, "documents"), table(spark, folder, "common_words"), table(spark, folder, "doc_labels")))
 
@@ -41,7 +53,7 @@ def p8_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p3_found": p3_found, "p3_groups": p3_groups, "p8_found": p8_found, "p8_quality": p8_quality, "p1_found": p1_found, "p6_pack": p6_pack, "p7_mix": p7_mix}
+    return {"p4_found": p4_found, "p4_pieces": p4_pieces, "p3_found": p3_found, "p3_groups": p3_groups, "p8_found": p8_found, "p8_quality": p8_quality, "p1_found": p1_found, "p6_pack": p6_pack, "p7_mix": p7_mix}
 
 
 def oracle_sql() -> dict[str, str]:
