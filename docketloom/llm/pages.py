@@ -24,6 +24,8 @@ _furniture = [
         r"^\S+ {2,}\S{1,4}/\S{1,4}\s*$",  # file    2/9
         r"^\s*\S{4}\]\s{2,}\S.{4,60}?\s{2,}\S{1,5}\s*$",  # 1983]    THE REPORTS    254
         r"^\s*\S{1,5}\s{2,}\S.{4,60}?\s{2,}\[\S{4}\s*$",  # 254    THE REPORTS    [1983
+        r"^\s*\d\w{0,3}\s{4,}\S.{2,50}\s[vy]\.?(?:\s.{0,40})?$",  # 254      A v. B
+        r"^\S.{2,50}\s[vy]\.?(?:\s.{0,40})?\s{4,}\w{0,3}\d\s*$",  # A v. B      254
     )
 ]
 _digit = re.compile(r"[0-9\f|]|[-–—\[]\s*\w{1,4}\s*[-–—\]]")

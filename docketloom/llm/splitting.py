@@ -38,7 +38,7 @@ HEADING, NUMBERED, INDENT, BLANK, SLACK, TITLE, PAGE_BLANK = 1, 2, 4, 8, 16, 32,
 
 RANGES = (
     "item string, range int, base long, pos array<int>, flag array<int>, need array<int>, ends array<int>, "
-    "width int, long_lines int, lines int, n_blank int, n_indent int, n_numbered int, page_open int, page_total int"
+    "width int, long_lines int, lines int, n_blank int, n_indent int, n_numbered int, n_short int, page_open int, page_total int"
 )
 
 _abbreviation = re.compile(r"(?:^|[\s(])(?:Rs|Ex|Mr|Mrs|Dr|No|Nos|v|vs|Art|S|J|JJ|A|I|R|C|M|Smt|Shri|Sri|St|cl|para|p|pp|Co|Ltd|Anr|Ors|viz|sub|sec)\.$")
@@ -76,7 +76,7 @@ def scan_range(text: str, start: int, lo: int, hi: int) -> dict:
     usual = int(np.percentile(lengths, 95)) if lengths else 0
     width = usual if longest <= 160 else longest
     pos, flag, need = [], [], []
-    n_blank = n_indent = n_numbered = page_open = page_total = 0
+    n_blank = n_indent = n_numbered = n_short = page_open = page_total = 0
     last = None  # the previous line of text
     gap = paged = page_gap = False
     last_heading = False
@@ -121,6 +121,8 @@ def scan_range(text: str, start: int, lo: int, hi: int) -> dict:
                 if page_gap:
                     flags |= PAGE_BLANK
                 flags |= SLACK
+                if flags == SLACK and (longest > 160 or len(last) + 1 + len(bare.split()[0]) <= width - 6):
+                    n_short += inside
         if paged and last is not None and inside:
             # whether pages bring a blank line of their own shows where a sentence runs on across them
             page_total += open_
@@ -134,7 +136,7 @@ def scan_range(text: str, start: int, lo: int, hi: int) -> dict:
     ends = [m.end() + start - lo for m in _sentence_end.finditer(text) if lo <= m.end() + start < hi]
     return {
         "pos": pos, "flag": flag, "need": need, "ends": ends, "width": width, "long_lines": int(longest > 160), "lines": len(lengths),
-        "n_blank": int(n_blank), "n_indent": int(n_indent), "n_numbered": int(n_numbered), "page_open": int(page_open), "page_total": int(page_total),
+        "n_blank": int(n_blank), "n_indent": int(n_indent), "n_numbered": int(n_numbered), "n_short": int(n_short), "page_open": int(page_open), "page_total": int(page_total),
     }
 
 
@@ -151,7 +153,7 @@ def scan(ranges: DataFrame) -> DataFrame:
     """The boundary tables of ranges (item, range, start, lo, hi, part)."""
 
     def run(batches):
-        names = ["pos", "flag", "need", "ends", "width", "long_lines", "lines", "n_blank", "n_indent", "n_numbered", "page_open", "page_total"]
+        names = ["pos", "flag", "need", "ends", "width", "long_lines", "lines", "n_blank", "n_indent", "n_numbered", "n_short", "page_open", "page_total"]
         for batch in batches:
             rows = [scan_range(p, s, lo, hi) for p, s, lo, hi in zip(*(batch.column(c).to_pylist() for c in ("part", "start", "lo", "hi")), strict=True)]
             columns = [pa.array([r[k] for r in rows], pa.list_(pa.int32()) if k in ("pos", "flag", "need", "ends") else pa.int32()) for k in names]
@@ -164,23 +166,23 @@ def decide(scanned: DataFrame) -> DataFrame:
     """(item, start_char): the paragraph starts, by the layout of the whole text."""
     layout = scanned.groupBy("item").agg(
         F.max("width").alias("width"), F.max("long_lines").alias("long"), F.sum("n_blank").alias("blanks"), F.sum("n_indent").alias("indents"),
-        F.sum("n_numbered").alias("numbers"), F.sum("page_open").alias("page_open"), F.sum("page_total").alias("page_total"),
+        F.sum("n_numbered").alias("numbers"), F.sum("n_short").alias("shorts"), F.sum("page_open").alias("page_open"), F.sum("page_total").alias("page_total"),
     )
     spot = scanned.select("item", "base", F.explode(F.arrays_zip("pos", "flag", "need")).alias("s")).select("item", (F.col("base") + F.col("s.pos")).alias("start_char"), F.col("s.flag").alias("flag"), F.col("s.need").alias("need"))
     has = lambda bit: F.col("flag").bitwiseAND(F.lit(bit)) != 0
-    by_blank = (F.col("blanks") > 0) & (F.col("indents") < 2)
     by_indent = F.col("indents") >= 2
-    by_number = (F.col("numbers") >= 2) & ~by_indent
-    plain = ~(F.col("blanks") > 0) & ~by_indent & ~by_number
+    by_number = ~by_indent & (F.col("numbers") >= 2) & (F.col("numbers") * 2 >= F.col("blanks"))
+    # short last lines without any mark: blank lines then part sections only
+    plain = ~by_indent & ~by_number & ((F.col("blanks") == 0) | (F.col("shorts") >= 2) & (F.col("shorts") * 2 >= F.col("blanks")))
+    by_blank = ~by_indent & ~by_number & (F.col("blanks") > 0)
     own_blank = F.col("page_open") * 2 >= F.greatest(F.col("page_total"), F.lit(1))  # pages come with a blank line
     slack = has(SLACK) & ((F.col("long") == 1) | (F.col("need") <= F.col("width") - 1))
     start = (
         has(TITLE) | has(HEADING)
         | (by_indent & has(INDENT))
         | (by_number & has(NUMBERED))
-        | (by_blank & ~by_number & has(BLANK))
-        | (by_blank & ~by_number & has(PAGE_BLANK) & ~own_blank)
-        | (by_blank & ~by_number & has(PAGE_BLANK) & slack)
+        | (by_blank & has(BLANK))
+        | (by_blank & ~plain & has(PAGE_BLANK) & (~own_blank | slack))
         | (plain & slack)
     )
     return spot.join(layout, "item").where(start & (F.col("start_char") > 0)).select("item", "start_char")
