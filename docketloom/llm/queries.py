@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketloom.llm import mixing, near_duplicates, neighbours, packing, quality, splitting
+from docketloom.llm import mixing, near_duplicates, neighbours, packing, page_noise, quality, splitting
 from docketloom.sources.tables import table
 
 
@@ -44,6 +44,14 @@ def p4_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.pieces(spark, _long_texts(spark, folder))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return page_noise.traces(spark, table(spark, folder, "judgments"))
+
+
+def p5_text(spark: SparkSession, folder: str) -> DataFrame:
+    return page_noise.repair_texts(spark, table(spark, folder, "judgments"))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return quality.not_prose(quality.quality(spark, table(spark, folder, "documents"), table(spark, folder, "common_words"), table(spark, folder, "doc_labels")))
 
@@ -53,7 +61,7 @@ def p8_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p4_found": p4_found, "p4_pieces": p4_pieces, "p3_found": p3_found, "p3_groups": p3_groups, "p8_found": p8_found, "p8_quality": p8_quality, "p1_found": p1_found, "p6_pack": p6_pack, "p7_mix": p7_mix}
+    return {"p5_found": p5_found, "p5_text": p5_text, "p4_found": p4_found, "p4_pieces": p4_pieces, "p3_found": p3_found, "p3_groups": p3_groups, "p8_found": p8_found, "p8_quality": p8_quality, "p1_found": p1_found, "p6_pack": p6_pack, "p7_mix": p7_mix}
 
 
 def oracle_sql() -> dict[str, str]:
