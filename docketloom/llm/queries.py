@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketloom.llm import mixing, near_duplicates, neighbours, packing, page_noise, quality, splitting
+from docketloom.llm import mixing, near_duplicates, neighbours, packing, page_noise, party_names, quality, splitting
 from docketloom.sources.tables import table
 
 
@@ -24,6 +24,14 @@ def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(spark, table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return party_names.spelling_pairs(p2_parties(spark, folder))
+
+
+def p2_parties(spark: SparkSession, folder: str) -> DataFrame:
+    return party_names.parties(spark, table(spark, folder, "judgments"), nicknames=table(spark, folder, "nicknames"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.all_pairs(*near_duplicates.near_duplicates(spark, table(spark, folder, "judgments")))
 
@@ -61,7 +69,7 @@ def p8_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p5_found": p5_found, "p5_text": p5_text, "p4_found": p4_found, "p4_pieces": p4_pieces, "p3_found": p3_found, "p3_groups": p3_groups, "p8_found": p8_found, "p8_quality": p8_quality, "p1_found": p1_found, "p6_pack": p6_pack, "p7_mix": p7_mix}
+    return {"p2_found": p2_found, "p2_parties": p2_parties, "p5_found": p5_found, "p5_text": p5_text, "p4_found": p4_found, "p4_pieces": p4_pieces, "p3_found": p3_found, "p3_groups": p3_groups, "p8_found": p8_found, "p8_quality": p8_quality, "p1_found": p1_found, "p6_pack": p6_pack, "p7_mix": p7_mix}
 
 
 def oracle_sql() -> dict[str, str]:
