@@ -53,7 +53,7 @@ def gold_pool(chunks: DataFrame, least: int = 200) -> DataFrame:
 
 def gold_sample(pool: DataFrame, quota: int, per_judgment: int = 2, seed: int = 42) -> DataFrame:
     """Up to ``quota`` chunks of every section and ``per_judgment`` of every judgment in it, in seeded hash order."""
-    order = [F.xxhash64("chunk_id", F.lit(seed)), F.col("chunk_id")]
+    order = [F.md5(F.concat_ws("-", F.col("chunk_id").cast("string"), F.lit(str(seed)))), F.col("chunk_id")]
     one = pool.withColumn("_j", F.row_number().over(Window.partitionBy("section", "judgment_id").orderBy(*order))).where(F.col("_j") <= per_judgment)
     return one.withColumn("_r", F.row_number().over(Window.partitionBy("section").orderBy(*order))).where(F.col("_r") <= quota).drop("_j", "_r")
 

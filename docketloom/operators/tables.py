@@ -110,4 +110,5 @@ def ensure_schema(spark: SparkSession, df: DataFrame, registry: DataFrame | None
 
 def stratified_sample(df: DataFrame, stratum: str, id_col: str, size: int, seed: int = 42) -> DataFrame:
     """Up to ``size`` rows of every stratum in a seeded hash order, the same on every run."""
-    return df.withColumn("_r", F.row_number().over(Window.partitionBy(stratum).orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), id_col))).where(F.col("_r") <= size).drop("_r")
+    order = F.md5(F.concat_ws("-", F.col(id_col).cast("string"), F.lit(str(seed))))
+    return df.withColumn("_r", F.row_number().over(Window.partitionBy(stratum).orderBy(order, id_col))).where(F.col("_r") <= size).drop("_r")
