@@ -184,7 +184,8 @@ SQL = {
         b AS (SELECT chunk_id id, n / greatest(1, (SELECT max(n) FROM deg)) s FROM chunks JOIN deg ON deg.id = judgment_id),
         f AS (SELECT query_id, fused.id, dense_rank, keyword_rank, round(rrf * (1 + 0.5 * coalesce(s, 0)), 9) rrf_score FROM fused LEFT JOIN b ON b.id = fused.id)
         SELECT query_id, id, rrf_score, row_number() OVER (PARTITION BY query_id ORDER BY {_ORDER}) AS rank FROM f QUALIFY rank <= 30""",
-    "rerank_lexical": f"""WITH {_FUSED}, {_TOP} SELECT query_id, id, coalesce(score, 0.0)::DOUBLE rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(score, 0.0) DESC, top.rank) AS rank FROM top LEFT JOIN hit USING (query_id, id) QUALIFY rank <= 8""",
+    "rerank_lexical": f"""WITH {_FUSED}, {_TOP}, z AS (SELECT query_id, id, coalesce(score, 0.0)::DOUBLE rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(score, 0.0) DESC, top.rank) AS nth FROM top LEFT JOIN hit USING (query_id, id))
+        SELECT query_id, id, rerank_score, nth AS rank FROM z WHERE nth <= 8""",
     "statute_exact_pin": f"WITH {_PIN} SELECT * FROM pin",
     "ranked_union": f"""WITH {_FUSED}, {_TOP}, {_PIN.replace(_SVEC + ',', '', 1)}, u AS (SELECT query_id, 1 part, id, rank AS nth FROM pin UNION ALL SELECT query_id, 2, id, rank FROM top WHERE rank <= 8)
         SELECT query_id, part, id, row_number() OVER (PARTITION BY query_id ORDER BY part, nth) AS rank FROM u""",

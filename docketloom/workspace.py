@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 _own: dict[str, str] = {}
+_open: list[Workspace] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,12 +34,24 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + _own[app]
 
 
+def _close_all() -> None:
+    """At the end of the application delete the tables that its results read from."""
+    for work in _open:
+        try:
+            work.close()
+        except Exception:  # noqa: BLE001 - the JVM may be gone, then there is nothing left to do
+            return
+
+
 class Workspace:
     """A private subfolder of the shared folder for one operator call."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/docketloom/{label}-{uuid.uuid4().hex[:12]}"
+        if not _open:
+            atexit.register(_close_all)
+        _open.append(self)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return it read back, with its lineage cut."""
