@@ -172,13 +172,14 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size > 0, dot(a, b) / size)
 
 
-def trigram_similarity(a: Column, b: Column) -> Column:
-    """Jaccard similarity of the sets of three-letter pieces of padded words."""
+def trigrams(col: str | Column) -> Column:
+    """The distinct three-letter pieces of a text's words, each padded with two blanks before and one after."""
+    words = F.regexp_extract_all(F.lower(_s(col)), F.lit(r"([a-z0-9]+)"), F.lit(1))
+    pieces = F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.concat(F.lit("  "), w, F.lit(" ")).substr(i, F.lit(3))))
+    return F.array_distinct(F.flatten(pieces))
 
-    def grams(c: Column) -> Column:
-        words = F.regexp_extract_all(F.lower(c), F.lit(r"([a-z0-9]+)"), F.lit(1))
-        pieces = F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.concat(F.lit("  "), w, F.lit(" ")).substr(i, F.lit(3))))
-        return F.array_distinct(F.flatten(pieces))
 
-    x, y = grams(a), grams(b)
+def trigram_similarity(a: Column, b: Column) -> Column:
+    """Jaccard similarity of the sets of three-letter pieces."""
+    x, y = trigrams(a), trigrams(b)
     return F.size(F.array_intersect(x, y)) / F.greatest(F.lit(1), F.size(F.array_union(x, y)))

@@ -184,6 +184,39 @@ def mind_map(edges: DataFrame, cases: DataFrame, stats: DataFrame, roots: DataFr
     return level.unionByName(more).unionByName(second)
 
 
+def _containing(asked: DataFrame, names: DataFrame) -> DataFrame:
+    """(query, norm, alias_norm): names that contain a query, met over its rarest run of three characters.
+
+    Queries shorter than three characters are met over every run that begins with them.
+    """
+    runs = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.col(c).substr(i, F.lit(3))))
+    index = names.select("alias_norm", F.explode(runs("alias_norm")).alias("run"))
+    df = index.groupBy("run").agg(F.count("*").alias("df"))
+    mine = asked.where("length(norm) >= 3").select("query", "norm", F.explode(runs("norm")).alias("run")).join(df, "run")
+    best = mine.groupBy("query", "norm").agg(F.min_by("run", F.struct("df", "run")).alias("run"), F.count("*").alias("n"), F.first(F.size(runs("norm"))).alias("wanted")).where("n = wanted")
+    brief = asked.where("length(norm) < 3").join(df.select("run"), F.col("run").contains(F.col("norm"))).select("query", "norm", "run")
+    met = best.select("query", "norm", "run").unionByName(brief).join(index, "run")
+    return met.where(F.col("alias_norm").contains(F.col("norm"))).select("query", "norm", "alias_norm").distinct()
+
+
+def _near_names(asked: DataFrame, names: DataFrame, least: float = 0.3) -> DataFrame:
+    """(query, norm, alias_norm): names that contain a query or are more similar to it than ``least``.
+
+    Sets more similar than t share one of the query's first n - ceil(t n) + 1 pieces in any
+    fixed order; ordered by rarity these meet few names.
+    """
+    from docketloom.functions.text import trigram_similarity, trigrams
+
+    index = names.select("alias_norm", F.explode(trigrams("alias_norm")).alias("gram"))
+    df = index.groupBy("gram").agg(F.count("*").alias("df"))
+    mine = asked.select("query", "norm", F.size(trigrams("norm")).alias("n"), F.explode(trigrams("norm")).alias("gram")).join(df, "gram", "left")
+    order = Window.partitionBy("query").orderBy(F.coalesce("df", F.lit(0)), "gram")
+    prefix = mine.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= F.col("n") - F.ceil(F.col("n") * least) + 1)
+    met = prefix.select("query", "norm", "gram").join(index, "gram").select("query", "norm", "alias_norm").distinct()
+    similar = met.where(trigram_similarity(F.col("alias_norm"), F.col("norm")) > least)
+    return similar.unionByName(_containing(asked, names)).distinct()
+
+
 def search_cases(aliases: DataFrame, cases: DataFrame, asked: DataFrame, limit: int = 10) -> DataFrame:
     """(query, id, match_type, score, rank): cases by id, reporter citation or (part of) a name.
 
@@ -200,13 +233,15 @@ def search_cases(aliases: DataFrame, cases: DataFrame, asked: DataFrame, limit:
     keys = q.select("query", F.explode(F.flatten(F.transform("reporters", lambda r: F.array(r["key"], r["loose_key"])))).alias("alias_norm"))
     by_key = keys.join(aliases.where("kind = 'reporter'"), "alias_norm").select("query", F.col("judgment_id").alias("id"), F.lit("reporter").alias("match_type"), F.lit(100.0).alias("score"))
     named = q.where("not digits and size(reporters) = 0 and norm <> ''").select("query", "norm")
-    # every query is compared with every name; the names pass by in blocks, one partition at a time
-    like = aliases.where("kind = 'case_name'").join(F.broadcast(named.limit(500)), F.col("alias_norm").contains(F.col("norm")) | (trigram_similarity(F.col("alias_norm"), F.col("norm")) > 0.3))
+    names = aliases.where("kind = 'case_name'")
+    like = _near_names(named, names.select("alias_norm").distinct()).join(names, "alias_norm")
     exact = F.col("alias_norm") == F.col("norm")
     by_name = like.select("query", F.col("judgment_id").alias("id"), F.when(exact, "exact_name").otherwise("name").alias("match_type"), F.when(exact, 100.0).otherwise(F.round(100 * trigram_similarity(F.col("alias_norm"), F.col("norm")), 1)).alias("score"))
     hits = by_id.unionByName(by_key).unionByName(by_name)
     left = named.join(hits.select("query").distinct(), "query", "left_anti")
-    raw = cases.join(F.broadcast(left.limit(500)), F.lower(F.coalesce("petitioner", F.lit(""))).contains(F.lower("query")) | F.lower(F.coalesce("respondent", F.lit(""))).contains(F.lower("query")))
+    sides_ = cases.select("id", F.explode(F.array("petitioner", "respondent")).alias("side")).where("side is not null")
+    texts = sides_.select(F.lower("side").alias("alias_norm")).distinct()
+    raw = _containing(left.select("query", F.lower("query").alias("norm")), texts).join(sides_.withColumn("alias_norm", F.lower("side")), "alias_norm").select("query", "id").distinct()
     hits = hits.unionByName(raw.select("query", "id", F.lit("name").alias("match_type"), F.lit(50.0).alias("score")))
     best = hits.groupBy("query", "id").agg(F.max("score").alias("score"), F.max_by("match_type", "score").alias("match_type"))
     return rank_by(best, "query", [F.desc("score"), F.col("id")], limit)
