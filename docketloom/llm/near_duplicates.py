@@ -39,6 +39,7 @@ TREES = 40
 DEPTH = 12
 REACH = 48
 LEAST_PREFIX = 1
+MOST_ROUNDS = 12
 KEY_BYTES = 2 * DEPTH
 SKETCH_BYTES = BINS // 8
 
@@ -237,7 +238,7 @@ def _stitch(edges: DataFrame, spark: SparkSession, threshold: float) -> DataFram
     return tails.unionByName(heads).groupBy("border").applyInArrow(run, "u long, w long")
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, work: Workspace, spark: SparkSession, words: int, threshold: float) -> DataFrame:
+def _verify(pairs: DataFrame, texts: DataFrame, work: Workspace, spark: SparkSession, words: int, threshold: float, name: str = "runs") -> DataFrame:
     """Exact similarity of the candidates: (u, w, similarity) at or above the threshold."""
     need = pairs.select(F.explode(F.array("u", "w")).alias("id")).distinct()
 
@@ -246,7 +247,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, work: Workspace, spark: SparkSes
             sets = [shingles(t, words).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary())], names=["id", "runs"])
 
-    sets = work.save(texts.join(need, "id", "left_semi").select("id", "text").mapInArrow(runs, "id long, runs binary"), "runs")
+    sets = work.save(texts.join(need, "id", "left_semi").select("id", "text").mapInArrow(runs, "id long, runs binary"), name)
     left, right = sets.select(F.col("id").alias("u"), F.col("runs").alias("ru")), sets.select(F.col("id").alias("w"), F.col("runs").alias("rw"))
 
     def run(batches):
@@ -262,6 +263,25 @@ def _verify(pairs: DataFrame, texts: DataFrame, work: Workspace, spark: SparkSes
     return pairs.join(left, "u").join(right, "w").select("u", "w", "ru", "rw").mapInArrow(run, "u long, w long, similarity double")
 
 
+def _complete(links: DataFrame, texts: DataFrame, work: Workspace, spark: SparkSession, words: int, threshold: float) -> DataFrame:
+    """Families larger than the reach: texts with as many links as a window holds meet their links' links.
+
+    Rounds go on until such texts gain no further link, so a crowded region loses none.
+    """
+    for turn in range(1, MOST_ROUNDS + 1):
+        both = links.select("u", "w").unionByName(links.select(F.col("w").alias("u"), F.col("u").alias("w")))
+        full = both.groupBy("u").count().where(F.col("count") >= REACH).select("u")
+        if not full.limit(1).count():
+            return links
+        met = both.join(full, "u", "left_semi").join(both.select(F.col("u").alias("w"), F.col("w").alias("x")), "w")
+        pairs = met.select(F.least("u", "x").alias("u"), F.greatest("u", "x").alias("w")).where("u <> w").distinct().join(links.select("u", "w"), ["u", "w"], "left_anti")
+        more = work.save(_verify(work.save(pairs, f"more-{turn}"), texts, work, spark, words, threshold, f"runs-{turn}"), f"links-{turn}")
+        if not more.limit(1).count():
+            return links
+        links = work.save(links.unionByName(more), f"all-{turn}")
+    return links
+
+
 def near_duplicates(spark: SparkSession, df: DataFrame, id_col: str = "id", text_col: str = "judgment_text", words: int = WORDS, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(links, classes): links (u, w, similarity) between class representatives, classes (id, rep)."""
     work = Workspace(spark, "near-duplicates")
@@ -277,7 +297,7 @@ def near_duplicates(spark: SparkSession, df: DataFrame, id_col: str = "id", text
     pairs = work.save(inner.unionByName(_stitch(found.where("side is not null"), spark, threshold)).where("u <> w").distinct(), "pairs")
     work.drop("found")
     links = work.save(_verify(pairs, rows, work, spark, words, threshold), "links")
-    return links, classes
+    return _complete(links, rows, work, spark, words, threshold), classes
 
 
 def all_pairs(links: DataFrame, classes: DataFrame) -> DataFrame:

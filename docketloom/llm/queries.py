@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketloom.llm import mixing, near_duplicates, neighbours, packing, page_noise, party_names, quality, splitting
+from docketloom.llm import mixing, near_duplicates, neighbours, packing, page_noise, party_names, quality, search, splitting
+from docketloom.llm.tokens import with_token_count
 from docketloom.sources.tables import table
 
 
@@ -16,6 +17,26 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return kind(chunk, "judgment").unionByName(kind(section, "statute"))
 
 
+def p1_search(spark: SparkSession, folder: str) -> DataFrame:
+    """Every fiftieth chunk vector searches all of them by the greedy graph walk."""
+    rows = table(spark, folder, "judgment_embeddings")
+    asked = rows.where("chunk_id % 50 = 0").groupBy("chunk_id").agg(F.max_by("embedding", "created_at").alias("embedding"))
+    return search.greedy_search(spark, asked, rows, "chunk_id", order_col="created_at", beam=24)
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Shares of the tokens that the mixture reaches, beside the targets."""
+    documents, goal = table(spark, folder, "documents"), table(spark, folder, "mix_targets")
+    return mixing.shares(mixing.mix(spark, documents, goal), with_token_count(documents.select("source", "text"), "text"), goal)
+
+
+def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """Number of containers, tokens in them and the share of their room that is filled."""
+    packed = p6_pack(spark, folder)
+    boxes = packed.groupBy("container").agg(F.sum("n_tokens").alias("tokens"))
+    return boxes.agg(F.count("*").alias("containers"), F.sum("tokens").alias("tokens"), F.round(F.sum("tokens") / (F.count("*") * packing.CAPACITY), 6).alias("filled"))
+
+
 def p6_pack(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_texts(spark, table(spark, folder, "documents"))
 
@@ -69,8 +90,25 @@ def p8_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p2_found": p2_found, "p2_parties": p2_parties, "p5_found": p5_found, "p5_text": p5_text, "p4_found": p4_found, "p4_pieces": p4_pieces, "p3_found": p3_found, "p3_groups": p3_groups, "p8_found": p8_found, "p8_quality": p8_quality, "p1_found": p1_found, "p6_pack": p6_pack, "p7_mix": p7_mix}
+    found = (p1_found, p1_search, p2_found, p2_parties, p3_found, p3_groups, p4_found, p4_pieces, p5_found, p5_text, p6_pack, p6_fill, p7_mix, p7_shares, p8_found, p8_quality)
+    return {f.__name__: f for f in found}
+
+
+def _pairs_sql(kind: str, table_name: str, key: str, latest: str) -> str:
+    return f"""SELECT DISTINCT '{kind}' vec_kind, least(x, y) id_a, greatest(x, y) id_b FROM (
+        SELECT a.id x, b.id y, row_number() OVER (PARTITION BY a.id ORDER BY round(list_cosine_similarity(a.v, b.v), 9) DESC, b.id) nth
+        FROM (SELECT {key} id, CAST({latest} AS DOUBLE[]) v FROM {table_name} WHERE embedding IS NOT NULL GROUP BY {key}) a
+        JOIN (SELECT {key} id, CAST({latest} AS DOUBLE[]) v FROM {table_name} WHERE embedding IS NOT NULL GROUP BY {key}) b ON a.id <> b.id QUALIFY nth <= 10)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can express an operator: exact neighbours and exact shingle overlap, over whole tables."""
+    return {
+        "p1_found": _pairs_sql("judgment", "judgment_embeddings", "chunk_id", "arg_max(embedding, created_at)") + " UNION ALL " + _pairs_sql("statute", "statute_embeddings", "section_id", "any_value(embedding)"),
+        "p3_found": """WITH t AS (SELECT id, regexp_extract_all(lower(judgment_text), '[a-z0-9]+') w, judgment_text FROM judgments WHERE judgment_text <> ''),
+            g AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) s FROM t WHERE len(w) >= 3),
+            n AS (SELECT id, count(*) n FROM g GROUP BY id),
+            m AS (SELECT a.id id_a, b.id id_b, count(*) both_ FROM g a JOIN g b ON a.s = b.s AND a.id < b.id GROUP BY ALL)
+            SELECT id_a, id_b FROM m JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE both_ >= 0.5 * (x.n + y.n - both_)
+            UNION SELECT a.id, b.id FROM t a JOIN t b ON a.id < b.id AND len(a.w) < 3 AND a.w = b.w AND (len(a.w) > 0 OR a.judgment_text = b.judgment_text)""",
+    }

@@ -37,13 +37,14 @@ HALO = 2_048
 HEADING, NUMBERED, INDENT, BLANK, SLACK, TITLE, PAGE_BLANK = 1, 2, 4, 8, 16, 32, 64
 
 RANGES = (
-    "item string, range int, base long, pos array<int>, flag array<int>, need array<int>, ends array<int>, "
+    "item string, range int, base long, pos array<int>, flag array<int>, need array<int>, ends array<int>, gaps array<int>, "
     "width int, long_lines int, lines int, n_blank int, n_indent int, n_numbered int, n_short int, page_open int, page_total int"
 )
 
 _abbreviation = re.compile(r"(?:^|[\s(])(?:Rs|Ex|Mr|Mrs|Dr|No|Nos|v|vs|Art|S|J|JJ|A|I|R|C|M|Smt|Shri|Sri|St|cl|para|p|pp|Co|Ltd|Anr|Ors|viz|sub|sec)\.$")
 _terminal = re.compile(r"[.?!।:][\"'”’)\]]*$")
 _paragraph_number = re.compile(r"^\d{1,3}\.\s+[A-Z(\"“‘]")
+GAP_STEP = 256
 _sentence_end = re.compile(r"[.?!।][\"'”’)\]]*\s+(?=[A-Z\"“‘(ऀ-ॿ])")
 
 
@@ -134,8 +135,10 @@ def scan_range(text: str, start: int, lo: int, hi: int) -> dict:
         last_heading = bool(flags & HEADING) or (last is None and first and _heading(bare, usual)) or (bool(flags & TITLE) and _heading(bare, usual))
         last, gap, paged, page_gap = bare, False, False, False
     ends = [m.end() + start - lo for m in _sentence_end.finditer(text) if lo <= m.end() + start < hi]
+    # the last blank of every stretch, for texts that have neither paragraphs nor sentences
+    gaps = [k + 1 + start - lo for k in (max(text.rfind(" ", a, a + GAP_STEP), text.rfind("\n", a, a + GAP_STEP)) for a in range(lo - start, hi - start, GAP_STEP)) if k >= 0 and k + 1 + start < hi]
     return {
-        "pos": pos, "flag": flag, "need": need, "ends": ends, "width": width, "long_lines": int(longest > 160), "lines": len(lengths),
+        "pos": pos, "flag": flag, "need": need, "ends": ends, "gaps": gaps, "width": width, "long_lines": int(longest > 160), "lines": len(lengths),
         "n_blank": int(n_blank), "n_indent": int(n_indent), "n_numbered": int(n_numbered), "n_short": int(n_short), "page_open": int(page_open), "page_total": int(page_total),
     }
 
@@ -153,10 +156,10 @@ def scan(ranges: DataFrame) -> DataFrame:
     """The boundary tables of ranges (item, range, start, lo, hi, part)."""
 
     def run(batches):
-        names = ["pos", "flag", "need", "ends", "width", "long_lines", "lines", "n_blank", "n_indent", "n_numbered", "n_short", "page_open", "page_total"]
+        names = ["pos", "flag", "need", "ends", "gaps", "width", "long_lines", "lines", "n_blank", "n_indent", "n_numbered", "n_short", "page_open", "page_total"]
         for batch in batches:
             rows = [scan_range(p, s, lo, hi) for p, s, lo, hi in zip(*(batch.column(c).to_pylist() for c in ("part", "start", "lo", "hi")), strict=True)]
-            columns = [pa.array([r[k] for r in rows], pa.list_(pa.int32()) if k in ("pos", "flag", "need", "ends") else pa.int32()) for k in names]
+            columns = [pa.array([r[k] for r in rows], pa.list_(pa.int32()) if k in ("pos", "flag", "need", "ends", "gaps") else pa.int32()) for k in names]
             yield pa.RecordBatch.from_arrays([batch.column("item"), batch.column("range"), batch.column("lo"), *columns], names=["item", "range", "base", *names])
 
     return ranges.mapInArrow(run, RANGES)
@@ -209,18 +212,18 @@ def paragraph_starts(spark: SparkSession, sources: list[tuple], limit: int = LIM
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
-    scanned = work.save(scan(ranges_of(_once(rows), "text")).drop("ends"), "scanned")
+    scanned = work.save(scan(ranges_of(_once(rows), "text")).drop("ends", "gaps"), "scanned")
     found = decide(scanned)
     return found.select(F.substring_index("item", ":", 1).alias("item_kind"), F.substring_index("item", ":", -1).cast("long").alias("item_id"), F.col("start_char").cast("long").alias("start_char"))
 
 
-def cut_points(length: int, paragraphs: np.ndarray, sentences: np.ndarray, blanks, limit: int, overlap: int) -> list[tuple[int, int, str]]:
+def cut_points(length: int, paragraphs: np.ndarray, sentences: np.ndarray, blanks: np.ndarray, limit: int, overlap: int) -> list[tuple[int, int, str]]:
     """Pieces [start, end) of at most ``limit`` characters, consecutive ones sharing ``overlap``."""
     out, start = [], 0
     while length - start > limit:
         top, least = start + limit, start + max(overlap + 1, limit // 4)
         end, why = top, "limit"
-        for points, name in ((paragraphs, "paragraph"), (sentences, "sentence"), (blanks(least, top), "blank")):
+        for points, name in ((paragraphs, "paragraph"), (sentences, "sentence"), (blanks, "blank")):
             at = np.searchsorted(points, top, "right") - 1
             if at >= 0 and points[at] >= least:
                 end, why = int(points[at]), name
@@ -241,19 +244,19 @@ def pieces(spark: SparkSession, sources: list[tuple], limit: int = LIMIT, overla
     rows = _once(rows)
     long = rows.where(F.length("text") > limit)
     scanned = work.save(scan(ranges_of(long, "text")), "scanned")
-    starts = decide(scanned).withColumn("p", F.lit(True))
-    ends = scanned.select("item", (F.col("base") + F.explode("ends")).alias("start_char")).withColumn("p", F.lit(False))
+    starts = decide(scanned).withColumn("p", F.lit(0))
+    placed = lambda c, p: scanned.select("item", "base", F.explode(c).alias("end")).select("item", (F.col("base") + F.col("end")).alias("start_char"), F.lit(p).alias("p"))
+    ends = placed("ends", 1).unionByName(placed("gaps", 2))
 
     def run(key, table):
         # offsets only, never the text; about one in a hundred characters has one
-        at, par = table.column("start_char").to_numpy(), table.column("p").to_numpy(zero_copy_only=False).astype(bool)
+        at, kind = table.column("start_char").to_numpy(), table.column("p").to_numpy()
         length = int(table.column("length")[0].as_py())
-        none = np.zeros(0, np.int64)
-        cuts = cut_points(length, np.unique(at[par & (at >= 0)]), np.unique(at[~par & (at >= 0)]), lambda a, b: none, limit, overlap)
+        cuts = cut_points(length, *(np.unique(at[(kind == k) & (at >= 0)]) for k in range(3)), limit, overlap)
         return pa.table({"item": pa.array([key[0].as_py()] * len(cuts)), "piece": pa.array(np.arange(len(cuts), dtype=np.int32)), "start_char": pa.array([c[0] for c in cuts], pa.int64()), "end_char": pa.array([c[1] for c in cuts], pa.int64()), "cut": pa.array([c[2] for c in cuts])})
 
     lengths = long.select("item", F.length("text").cast("long").alias("length"))
-    points = starts.unionByName(ends).unionByName(lengths.select("item", F.lit(-1).cast("long").alias("start_char"), F.lit(True).alias("p"))).join(lengths, "item")
+    points = starts.unionByName(ends).unionByName(lengths.select("item", F.lit(-1).cast("long").alias("start_char"), F.lit(0).alias("p"))).join(lengths, "item")
     cut = points.groupBy("item").applyInArrow(run, "item string, piece int, start_char long, end_char long, cut string")
     short = rows.where(F.length("text") <= limit).select("item", F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start_char"), F.length("text").cast("long").alias("end_char"), F.lit("end").alias("cut"), "section", F.col("text").alias("content"))
     done = cut.join(long, "item").select("item", "piece", "start_char", "end_char", "cut", "section", F.expr("substring(text, cast(start_char + 1 as int), cast(end_char - start_char as int))").alias("content"))
