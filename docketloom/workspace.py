@@ -15,6 +15,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docketloom.shipping import ship
+
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 _own: dict[str, str] = {}
 _open: list[Workspace] = []
@@ -47,6 +49,7 @@ class Workspace:
     """A private subfolder of the shared folder for one operator call."""
 
     def __init__(self, spark: SparkSession, label: str):
+        ship(spark)
         self.spark = spark
         self.root = f"{shared_folder(spark)}/docketloom/{label}-{uuid.uuid4().hex[:12]}"
         if not _open:
