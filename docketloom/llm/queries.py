@@ -18,10 +18,9 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_search(spark: SparkSession, folder: str) -> DataFrame:
-    """Every fiftieth chunk vector searches all of them by the greedy graph walk."""
-    rows = table(spark, folder, "judgment_embeddings")
-    asked = rows.where("chunk_id % 50 = 0").groupBy("chunk_id").agg(F.max_by("embedding", "created_at").alias("embedding"))
-    return search.greedy_search(spark, asked, rows, "chunk_id", order_col="created_at", beam=24)
+    """Every fiftieth section vector searches all of them by the greedy graph walk."""
+    rows = table(spark, folder, "statute_embeddings")
+    return search.greedy_search(spark, rows.where("section_id % 50 = 0"), rows, "section_id")
 
 
 def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
