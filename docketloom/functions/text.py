@@ -165,6 +165,37 @@ def explicit_provision(col: str | Column) -> tuple[Column, Column]:
     return kind, F.when(article != "", article).when(section != "", section)
 
 
+def statute_kind(col: str | Column) -> Column:
+    """What a statute file holds, by its name."""
+    low = F.lower(F.coalesce(_s(col), F.lit("")))
+    return F.when(low.contains("constitution"), "constitution").when(low.contains("bns") | low.contains("nyaya"), "penal code").when(low.contains("act") | low.contains("code"), "act").otherwise("other")
+
+
+def provider_of(col: str | Column) -> Column:
+    """The service a model name belongs to, by its first matching prefix."""
+    low = F.lower(F.coalesce(_s(col), F.lit("")))
+    return F.when(low.startswith("gpt-") | low.startswith("o1") | low.startswith("o3"), "openai").when(low.startswith("gemini-"), "google").when(low.startswith("claude-"), "anthropic").otherwise("local")
+
+
+def routable(col: str | Column, prefix: str, denied: tuple[str, ...] = ("embedding", "image", "audio", "tts", "live", "vision")) -> Column:
+    """Names with the prefix that none of the denied words marks as another kind of model."""
+    low = F.lower(F.coalesce(_s(col), F.lit("")))
+    out = low.startswith(prefix)
+    for word in denied:
+        out = out & ~low.contains(word)
+    return out
+
+
+def document_link(kind: str | Column, judgment: str | Column, section: str | Column) -> Column:
+    """The path of a source document; null where nothing is stored."""
+    return F.when((_s(kind) == "statute") & _s(section).isNotNull(), F.concat(F.lit("/documents/section/"), _s(section).cast("string"))).when((_s(kind) == "judgment") & _s(judgment).isNotNull(), F.concat(F.lit("/documents/judgment/"), _s(judgment).cast("string")))
+
+
+def seeded_key(col: str | Column, seed: int = 42) -> Column:
+    """A key whose order is a shuffle, the same on every run."""
+    return F.md5(F.concat_ws("-", _s(col).cast("string"), F.lit(str(seed))))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two arrays in double precision; null where a length is zero."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)

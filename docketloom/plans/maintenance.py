@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from docketloom.functions import documents, text
 from docketloom.operators import resolver, tables
 from docketloom.sources.tables import table
 
@@ -35,16 +37,17 @@ def insert_ignore(spark: SparkSession, d: str) -> DataFrame:
 
 
 def upsert_last_wins(spark: SparkSession, d: str) -> DataFrame:
-    """Sections delivered later replace those of the same number in their statute."""
-    rows = table(spark, d, "statute_sections").select("section_id", "statute_id", "section_number", "content")
-    new = rows.where("section_id % 3 = 0").unionByName(rows.where("section_id % 7 = 0").withColumn("content", F.concat(F.lit("amended: "), F.col("content"))).withColumn("section_id", F.col("section_id") + 100_000))
-    return tables.upsert(rows, new, ["statute_id", "section_number"], [F.col("section_id")])
+    """All sections delivered again, those without a heading amended under a later id: the last of a number wins."""
+    rows = table(spark, d, "statute_sections").select("section_id", "statute_id", "section_number", "content", "heading")
+    late = rows.where("heading is null").withColumn("content", F.concat(F.lit("amended: "), F.col("content"))).withColumn("section_id", F.col("section_id") + 100_000)
+    return tables.upsert(rows.drop("heading"), rows.unionByName(late).drop("heading"), ["statute_id", "section_number"], [F.col("section_id")])
 
 
 def lookup_or_insert(spark: SparkSession, d: str) -> DataFrame:
-    """Statutes named by their titles, two of them new."""
-    old = table(spark, d, "statutes").select("id", "title", "source_file")
-    new = old.where("id % 2 = 0").select("title", F.concat(F.lit("moved/"), "source_file").alias("source_file")).unionByName(spark.createDataFrame([("Added Act, 1990", "a.pdf"), ("Brought In Code, 1991", "b.pdf")], "title string, source_file string"))
+    """Statutes looked up by title, the older ones from a moved file, and two new ones."""
+    all_ = table(spark, d, "statutes")
+    old = all_.select("id", "title", "source_file")
+    new = all_.where("act_year < 1955").select("title", F.concat(F.lit("moved/"), "source_file").alias("source_file")).unionByName(spark.createDataFrame([("Added Act, 1990", "a.pdf"), ("Brought In Code, 1991", "b.pdf")], "title string, source_file string"))
     return tables.lookup_or_insert(old, new, "title", "id", ["source_file"])
 
 
@@ -90,12 +93,40 @@ def resolution_counts(spark: SparkSession, d: str) -> DataFrame:
     return resolver.resolution_counts(table(spark, d, "citation_edges"))
 
 
+def backfill_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """Judgments with an unknown party whose own text names it."""
+    todo = table(spark, d, "judgments").where("petitioner = 'Unknown' or respondent = 'Unknown'")
+    found = documents.with_metadata(todo.select("id", documents.clean_judgment("judgment_text").alias("t")), "t").select("id", "metadata.petitioner", "metadata.respondent")
+    return tables.changed_rows(todo, found, "id", ["petitioner", "respondent"])
+
+
+def top_years(spark: SparkSession, d: str) -> DataFrame:
+    """The ten years with most judgments."""
+    n = table(spark, d, "judgments").where("date_of_judgment is not null").groupBy(F.year("date_of_judgment").alias("year")).agg(F.count("*").alias("n"))
+    return n.orderBy(F.desc("n"), "year").limit(10)
+
+
+def seeded_shuffle(spark: SparkSession, d: str) -> DataFrame:
+    """The sections of every statute in a shuffled order that each run repeats."""
+    rows = table(spark, d, "statute_sections").select("statute_id", "section_id", text.seeded_key("section_id").alias("k"))
+    return rows.withColumn("position", F.row_number().over(Window.partitionBy("statute_id").orderBy("k", "section_id"))).drop("k")
+
+
+def latency_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Median, greatest and number of values per event type."""
+    return table(spark, d, "events").groupBy("event_type").agg(F.round(F.median("value"), 6).alias("median"), F.max("value").alias("most"), F.count("value").alias("n"))
+
+
+def statute_files(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "statutes").select("id", text.statute_kind("source_file").alias("kind"), text.document_link(F.lit("statute"), F.lit(None), "id").alias("link"))
+
+
 def corpus_counts(spark: SparkSession, d: str) -> DataFrame:
     part = lambda name, df: df.agg(F.lit(name).alias("name"), F.count("*").alias("n"))
     return part("judgments", table(spark, d, "judgments")).unionByName(part("chunks", table(spark, d, "judgment_chunks").select("chunk_id").distinct())).unionByName(part("vectors", table(spark, d, "judgment_embeddings").select("chunk_id").distinct())).unionByName(part("edges", table(spark, d, "citation_edges")))
 
 
-QUERIES = {f.__name__: f for f in (dedupe_groups, dedupe_totals, dedupe_keepers, dedupe_dry_run, insert_ignore, upsert_last_wins, lookup_or_insert, surrogate_keys, cascade_delete, anti_join_unprocessed, review_sample, retention, changed_metadata, resolution_counts, corpus_counts)}
+QUERIES = {f.__name__: f for f in (dedupe_groups, dedupe_totals, dedupe_keepers, dedupe_dry_run, insert_ignore, upsert_last_wins, lookup_or_insert, surrogate_keys, cascade_delete, anti_join_unprocessed, review_sample, retention, changed_metadata, resolution_counts, backfill_metadata, top_years, seeded_shuffle, latency_stats, statute_files, corpus_counts)}
 
 _GROUPS = "SELECT md5(judgment_text) hash, count(*) n, min(id) keeper FROM judgments GROUP BY 1 HAVING count(*) > 1"
 SQL = {
@@ -104,10 +135,10 @@ SQL = {
     "dedupe_keepers": "SELECT min(id) id FROM judgments GROUP BY md5(judgment_text)",
     "dedupe_dry_run": "SELECT id FROM judgments WHERE id NOT IN (SELECT min(id) FROM judgments GROUP BY md5(judgment_text))",
     "insert_ignore": f"SELECT edge_id, source_judgment_id, target_judgment_id, cited_text FROM citation_edges n WHERE created_at >= TIMESTAMP '{CUT}' AND NOT EXISTS (SELECT 1 FROM citation_edges o WHERE o.created_at < TIMESTAMP '{CUT}' AND o.source_judgment_id = n.source_judgment_id AND coalesce(o.target_judgment_id, -1) = coalesce(n.target_judgment_id, -1) AND o.cited_text = n.cited_text) QUALIFY row_number() OVER (PARTITION BY source_judgment_id, coalesce(target_judgment_id, -1), cited_text ORDER BY edge_id) = 1",
-    "upsert_last_wins": """WITH new AS (SELECT section_id, statute_id, section_number, content FROM statute_sections WHERE section_id % 3 = 0 UNION ALL SELECT section_id + 100000, statute_id, section_number, 'amended: ' || content FROM statute_sections WHERE section_id % 7 = 0),
+    "upsert_last_wins": """WITH new AS (SELECT section_id, statute_id, section_number, content FROM statute_sections UNION ALL SELECT section_id + 100000, statute_id, section_number, 'amended: ' || content FROM statute_sections WHERE heading IS NULL),
         last AS (SELECT * FROM new QUALIFY row_number() OVER (PARTITION BY statute_id, section_number ORDER BY section_id DESC) = 1)
         SELECT section_id, statute_id, section_number, content FROM statute_sections ANTI JOIN last USING (statute_id, section_number) UNION ALL SELECT section_id, statute_id, section_number, content FROM last""",
-    "lookup_or_insert": """SELECT id, title, CASE WHEN id % 2 = 0 THEN 'moved/' || source_file ELSE source_file END source_file FROM statutes
+    "lookup_or_insert": """SELECT id, title, CASE WHEN act_year < 1955 THEN 'moved/' || source_file ELSE source_file END source_file FROM statutes
         UNION ALL SELECT (SELECT max(id) FROM statutes) + 1, 'Added Act, 1990', 'a.pdf' UNION ALL SELECT (SELECT max(id) FROM statutes) + 2, 'Brought In Code, 1991', 'b.pdf'""",
     "surrogate_keys": "SELECT row_number() OVER (ORDER BY judgment_id, chunk_id) row_id, judgment_id, chunk_id FROM (SELECT DISTINCT judgment_id, chunk_id FROM judgment_chunks)",
     "cascade_delete": "SELECT judgment_id, count(*) n FROM judgment_chunks WHERE judgment_id IN (SELECT id FROM judgments WHERE date_of_judgment IS NOT NULL) GROUP BY judgment_id",
@@ -116,5 +147,9 @@ SQL = {
     "retention": "WITH s AS (SELECT user_id::VARCHAR session_id, max(ts) last_active FROM events WHERE user_id IS NOT NULL GROUP BY 1) SELECT * FROM s WHERE session_id = 'default' OR last_active >= (SELECT max(ts) FROM events WHERE user_id IS NOT NULL) - INTERVAL 2 HOURS",
     "changed_metadata": "SELECT id, coalesce(trim(court), 'Unknown') court, trim(source_file) source_file FROM judgments WHERE court IS DISTINCT FROM coalesce(trim(court), 'Unknown') OR source_file IS DISTINCT FROM trim(source_file)",
     "resolution_counts": "SELECT coalesce(resolution_method, 'unresolved') AS method, count(*) n, round(count(*) / sum(count(*)) OVER (), 4) share FROM citation_edges GROUP BY 1",
+    "top_years": "SELECT year(date_of_judgment) AS year, count(*) n FROM judgments WHERE date_of_judgment IS NOT NULL GROUP BY 1 ORDER BY n DESC, year LIMIT 10",
+    "seeded_shuffle": "SELECT statute_id, section_id, row_number() OVER (PARTITION BY statute_id ORDER BY md5(section_id || '-42'), section_id) AS position FROM statute_sections",
+    "latency_stats": "SELECT event_type, round(median(value), 6) AS median, max(value) most, count(value) n FROM events GROUP BY event_type",
+    "statute_files": "SELECT id, CASE WHEN contains(lower(source_file), 'constitution') THEN 'constitution' WHEN contains(lower(source_file), 'bns') OR contains(lower(source_file), 'nyaya') THEN 'penal code' WHEN contains(lower(source_file), 'act') OR contains(lower(source_file), 'code') THEN 'act' ELSE 'other' END kind, '/documents/section/' || id link FROM statutes",
     "corpus_counts": "SELECT 'judgments' AS name, count(*) n FROM judgments UNION ALL SELECT 'chunks', count(DISTINCT chunk_id) FROM judgment_chunks UNION ALL SELECT 'vectors', count(DISTINCT chunk_id) FROM judgment_embeddings UNION ALL SELECT 'edges', count(*) FROM citation_edges",
 }

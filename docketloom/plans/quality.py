@@ -32,6 +32,13 @@ def ir_metrics_by_section(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.metrics(evaluation.first_hits(near, right, asked).join(asked, "query_id"), ["section"])
 
 
+def ir_metrics_rollup(spark: SparkSession, d: str) -> DataFrame:
+    """Recall at 10 per section and, under a null section flagged as total, over all."""
+    near, right, asked = _ranked(spark, d)
+    hits = evaluation.first_hits(near, right, asked).join(asked, "query_id")
+    return hits.rollup("section").agg(F.grouping("section").cast("int").alias("total"), F.count("*").alias("n"), F.round(F.avg(F.when(F.col("hit") <= 10, 1.0).otherwise(0.0)), 6).alias("recall_at_10"))
+
+
 def ir_metrics_flat(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.flat_metrics(ir_metrics_by_section(spark, d), ["section"])
 
@@ -45,9 +52,9 @@ def gold_sample(spark: SparkSession, d: str) -> DataFrame:
 
 
 def gold_validation(spark: SparkSession, d: str) -> DataFrame:
-    """Records of every seventh chunk, some of them moved, changed or gone."""
+    """A record of every chunk, some of them moved, changed or gone."""
     chunks = _chunks(spark, d)
-    gold = chunks.where("chunk_id % 7 = 0").select(
+    gold = chunks.select(
         F.col("chunk_id").alias("query_id"),
         F.when(F.col("chunk_id") % 3 == 0, -F.col("chunk_id")).otherwise(F.col("chunk_id")).alias("chunk_id"),
         F.when(F.col("chunk_id") % 5 == 0, F.lit(-1).cast("long")).otherwise(F.col("judgment_id")).alias("judgment_id"),
@@ -81,7 +88,7 @@ def answer_confidence(spark: SparkSession, d: str) -> DataFrame:
     return context.confidence(said, _retrieved(spark, d)).select("query_id", "confidence", confidence_band("confidence").alias("band"))
 
 
-QUERIES = {f.__name__: f for f in (ir_metrics, ir_metrics_by_section, ir_metrics_flat, gold_pool, gold_sample, gold_validation, context_blocks, source_labels, grouped_positions, answer_confidence)}
+QUERIES = {f.__name__: f for f in (ir_metrics, ir_metrics_by_section, ir_metrics_rollup, ir_metrics_flat, gold_pool, gold_sample, gold_validation, context_blocks, source_labels, grouped_positions, answer_confidence)}
 
 _CUTS = ", ".join([f"round(avg(CASE WHEN hit <= {k} THEN 1.0 ELSE 0.0 END), 6)::DOUBLE recall_at_{k}" for k in evaluation.CUTS] + [f"round(avg(CASE WHEN hit <= {k} THEN 1 / log2(hit + 1) ELSE 0.0 END), 6) ndcg_at_{k}" for k in evaluation.CUTS])
 _HITS = f"""{_VEC}, {_CHUNKS}, s AS (SELECT q.id query_id, c.id, row_number() OVER (PARTITION BY q.id ORDER BY round(list_cosine_similarity(q.v, c.v), 9) DESC, c.id) AS raw FROM vec q CROSS JOIN vec c WHERE q.id % 50 = 0 QUALIFY raw <= 31),
@@ -93,11 +100,12 @@ _MRR = "round(avg(CASE WHEN hit IS NOT NULL THEN 1 / hit ELSE 0.0 END), 6)::DOUB
 SQL = {
     "ir_metrics": f"WITH {_HITS} SELECT count(*) n, {_CUTS}, {_MRR} FROM hits",
     "ir_metrics_by_section": f"WITH {_HITS} SELECT section, count(*) n, {_CUTS}, {_MRR} FROM hits GROUP BY section",
+    "ir_metrics_rollup": f"WITH {_HITS} SELECT section, grouping(section)::INT total, count(*) n, round(avg(CASE WHEN hit <= 10 THEN 1.0 ELSE 0.0 END), 6)::DOUBLE recall_at_10 FROM hits GROUP BY ROLLUP (section)",
     "gold_pool": f"WITH {_CHUNKS} SELECT chunk_id FROM chunks WHERE length(content) > 200 AND length(regexp_replace(content, '[\\x00-\\x7F]', '', 'g')) / length(content) <= 0.2",
     "gold_sample": f"""WITH {_CHUNKS}, p AS (SELECT * FROM chunks WHERE length(content) > 200 AND length(regexp_replace(content, '[\\x00-\\x7F]', '', 'g')) / length(content) <= 0.2),
         a AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY section, judgment_id ORDER BY md5(chunk_id || '-42'), chunk_id) <= 2)
         SELECT section, chunk_id FROM a QUALIFY row_number() OVER (PARTITION BY section ORDER BY md5(chunk_id || '-42'), chunk_id) <= 16""",
-    "gold_validation": f"WITH {_CHUNKS} SELECT chunk_id query_id, CASE WHEN chunk_id % 3 = 0 THEN 'missing' WHEN chunk_id % 5 = 0 THEN 'moved' WHEN chunk_id % 11 = 0 THEN 'changed' ELSE 'valid' END status FROM chunks WHERE chunk_id % 7 = 0",
+    "gold_validation": f"WITH {_CHUNKS} SELECT chunk_id query_id, CASE WHEN chunk_id % 3 = 0 THEN 'missing' WHEN chunk_id % 5 = 0 THEN 'moved' WHEN chunk_id % 11 = 0 THEN 'changed' ELSE 'valid' END status FROM chunks",
     "grouped_positions": f"""WITH {_FUSED}, top AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 9) DESC, dense_rank NULLS LAST, keyword_rank NULLS LAST, id) AS rank FROM fused QUALIFY rank <= 8),
         g AS (SELECT query_id, top.id, rank, min(rank) OVER (PARTITION BY query_id, judgment_id) f FROM top JOIN chunks ON chunk_id = top.id JOIN judgments j ON j.id = judgment_id)
         SELECT query_id, rank, id, dense_rank() OVER (PARTITION BY query_id ORDER BY f) group_no FROM g""",

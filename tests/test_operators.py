@@ -182,3 +182,21 @@ def test_workspace_uses_the_session_folder(spark):
     setting = spark.conf.get("spark.checkpoint.dir", None)
     assert work.root.startswith(setting.rstrip("/") if setting else "file://")
     work.close()
+
+
+def test_pipeline(spark, data, tmp_path):
+    from docketloom import pipeline
+
+    assert len(pipeline.build(spark, data, str(tmp_path))) == 4
+    stats = spark.read.parquet(f"{tmp_path}/judgment_graph_stats.parquet")
+    chunks = spark.read.parquet(f"{tmp_path}/judgment_chunks.parquet")
+    assert abs(stats.agg(F.sum("pagerank")).first()[0] - 1) < 1e-6
+    assert chunks.select("chunk_id").distinct().count() == chunks.count() == chunks.agg(F.max("chunk_id")).first()[0]
+
+
+def test_marks_and_sources(spark):
+    said = spark.createDataFrame([(1, "held [2] and [3] and again [2] and [9]")], "answer_id long, answer string")
+    got = spark.createDataFrame([(1, 1, 10), (1, 2, 20), (1, 3, 30)], "answer_id long, rank int, id long")
+    assert [r["id"] for r in chat.cited_marks(said, got).orderBy("position").collect()] == [20, 30]
+    rows = spark.createDataFrame([(1, 1, "judgment", "A v. B", "C", 1950, None), (1, 2, "statute", "Constitution of X", None, None, "21"), (1, 3, "judgment", "A v. B", "C", 1950, None)], "query_id long, rank int, doc_type string, case string, court string, year int, section_number string")
+    assert [r["label"] for r in context.source_labels(rows).orderBy("position").collect()] == ["A v. B (C, 1950)", "Constitution of X, Art. 21"]
