@@ -21,6 +21,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,11 +65,6 @@ def _uniform(seed: int) -> Column:
     return (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
 
 
-def _copies(steps: list[float]) -> Column:
-    """Inverse of the cumulative probabilities at the document's uniform number."""
-    return F.size(F.filter(F.array(*[F.lit(p) for p in steps]), lambda p: F.col("_u") >= p)) if steps else F.lit(0)
-
-
 def plan_rates(rows: DataFrame, targets: list[dict], seed: int, total_tokens: int | None = None) -> tuple[dict[str, list[float]], float]:
     """Cumulative probabilities per source, adjusted on the corpus, and the mixture's size."""
     size = {r["source"]: r["t"] for r in rows.groupBy("source").agg(F.sum("n_tokens").alias("t")).join(rows.sparkSession.createDataFrame([(t["source"],) for t in targets], "source string"), "source", "left_semi").collect()}
@@ -85,15 +82,24 @@ def plan_rates(rows: DataFrame, targets: list[dict], seed: int, total_tokens: in
     drawn = rows.withColumn("_u", _uniform(seed))
     for _ in range(3):  # each pass narrows the bracket of every source's rate by GRID
         tries = {s: [r if r == math.inf else r * (1 - span + 2 * span * i / GRID) for i in range(GRID + 1)] for s, r in rate.items()}
-        parts = []
-        for i in range(GRID + 1):
-            pick = F.lit(0)
-            for s in tries:
-                pick = F.when(F.col("source") == s, _copies(cut_poisson(tries[s][i], cap[s]))).otherwise(pick)
-            parts.append(F.sum(pick * F.col("n_tokens")).alias(f"t{i}"))
-        reached = {r["source"]: r for r in drawn.where(F.col("source").isin(*tries)).groupBy("source").agg(*parts).collect()}
+        steps = {s: [cut_poisson(r, cap[s]) for r in tries[s]] for s in tries}
+
+        def run(batches, steps=steps):
+            total: dict[str, np.ndarray] = {}
+            for batch in batches:
+                source, u, n = np.array(batch.column("source").to_pylist(), object), batch.column("_u").to_numpy(), batch.column("n_tokens").to_numpy()
+                for s in set(source):
+                    mine = source == s
+                    sums = np.array([int((np.searchsorted(p, u[mine], "right") * n[mine]).sum()) for p in steps[s]])
+                    total[s] = total.get(s, 0) + sums
+            yield pa.RecordBatch.from_arrays([pa.array([s for s in total for _ in range(GRID + 1)], pa.string()), pa.array(list(range(GRID + 1)) * len(total), pa.int32()), pa.array([int(x) for v in total.values() for x in v], pa.int64())], names=["source", "i", "t"])
+
+        sums = drawn.where(F.col("source").isin(*tries)).select("source", "_u", "n_tokens").mapInArrow(run, "source string, i int, t long").groupBy("source", "i").agg(F.sum("t").alias("t"))
+        reached: dict[str, dict[int, int]] = {}
+        for r in sums.collect():  # GRID + 1 rows per target source
+            reached.setdefault(r["source"], {})[r["i"]] = r["t"]
         for s in rate:
-            best = min(range(GRID + 1), key=lambda i: (abs(reached[s][f"t{i}"] - goal[s]), abs(i - GRID / 2)))
+            best = min(range(GRID + 1), key=lambda i: (abs(reached[s][i] - goal[s]), abs(i - GRID / 2)))
             rate[s] = tries[s][best]
         span = 1.5 * span / GRID
     return {s: cut_poisson(rate[s], cap[s]) for s in rate}, float(total)
@@ -113,10 +119,9 @@ def mix(spark: SparkSession, documents: DataFrame, targets: DataFrame, seed: int
     base = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
     counted = work.save(with_token_count(base.where(F.col("source").isin(*[g["source"] for g in goals]) if goals else F.lit(False)), "text", path=tokenizer), "counted")
     steps, _ = plan_rates(counted.select("doc_id", "source", "n_tokens"), goals, seed, total_tokens)
-    pick = F.lit(0)
-    for source, probabilities in steps.items():
-        pick = F.when(F.col("source") == source, _copies(probabilities)).otherwise(pick)
-    drawn = counted.withColumn("_u", _uniform(seed)).withColumn("_n", pick).where("_n > 0 and n_tokens > 0")
+    # one row per target source, TARGET_LIMIT at most: the inverse of its distribution
+    table = spark.createDataFrame([(s, [float(p) for p in steps[s]]) for s in steps], "source string, steps array<double>")
+    drawn = counted.withColumn("_u", _uniform(seed)).join(F.broadcast(table), "source").withColumn("_n", F.size(F.filter("steps", lambda p: F.col("_u") >= p))).where("_n > 0 and n_tokens > 0")
     copies = drawn.select("doc_id", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("copy"), "source", "n_tokens", "text")
     keyed = copies.select(F.xxhash64("doc_id", "copy", F.lit(seed + 1)).alias("mix_key"), "*")
     return keyed.repartitionByRange(spread(spark), "mix_key").sortWithinPartitions("mix_key", "doc_id", "copy")
