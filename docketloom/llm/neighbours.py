@@ -31,12 +31,14 @@ SAMPLE_ROWS = 16_384
 LEAF_ROWS = 1_000
 MOST_CELLS = 2_048
 CELL_CAP = 16_384
+COPIES = 64
 MARGIN = 0.04
 SALT = 64
 BUCKETS = 1 << 20
 
 ENTRY = "struct<cos:double,id:bigint,c1:int,c2:int>"
 GRAPH = f"u long, c1 int, c2 int, near array<{ENTRY}>"
+LISTS = pa.list_(pa.struct([("cos", pa.float64()), ("id", pa.int64()), ("c1", pa.int32()), ("c2", pa.int32())]))
 
 
 # ---------------------------------------------------------------- encoding
@@ -184,12 +186,25 @@ def _latest(enc: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]:
 
 
 # ---------------------------------------------------------------- graph
-def _subcell(cell: Column, split: dict[int, int]) -> Column:
-    """Cells beyond the cap are split by the class hash; NN-descent links the parts again."""
+def _leave_copies(enc: DataFrame) -> DataFrame:
+    """The table without the rows of much-copied vectors that don't hold the class's smallest id."""
+    # at most one class per COPIES rows of the table
+    hot = enc.groupBy("vh").agg(F.min("id").alias("first"), F.count("*").alias("n")).where(F.col("n") > COPIES).select("vh", "first")
+    return enc.join(F.broadcast(hot), "vh", "left").where("first is null or first = id").drop("first")
+
+
+def _blocks(member: DataFrame, split: dict[int, int]) -> DataFrame:
+    """Every row once for every pair (a, b) of parts of its cell that holds its own part.
+
+    A cell beyond the cap has parts by class hash; as every part meets every
+    other, all pairs of the cell are compared, each in exactly one block.
+    """
     if not split:
-        return cell.cast("long")
-    parts = F.element_at(F.create_map(*[x for k, v in split.items() for x in (F.lit(k), F.lit(v))]), cell)
-    return F.when(parts.isNull(), cell.cast("long")).otherwise(cell.cast("long") + F.lit(MOST_CELLS * 2) * (1 + F.pmod(F.xxhash64("vh"), parts)))
+        return member.select("*", *(F.lit(0).alias(c) for c in ("part", "a", "b")))
+    parts = F.coalesce(F.element_at(F.create_map(*[x for k, v in split.items() for x in (F.lit(k), F.lit(v))]), F.col("cell")), F.lit(1))
+    member = member.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("vh"), F.col("parts")).cast("int"))
+    member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return member.withColumn("a", F.least("part", "other")).withColumn("b", F.greatest("part", "other")).drop("parts", "other")
 
 
 def _best(scores: np.ndarray, k: int) -> np.ndarray:
@@ -197,11 +212,16 @@ def _best(scores: np.ndarray, k: int) -> np.ndarray:
     return part
 
 
-def _inside_cells(enc: DataFrame, spark: SparkSession, keep: int) -> DataFrame:
-    """Exact neighbour lists inside every cell, best first; nodes of two cells have two."""
-    counts = enc.select(F.explode(F.array_distinct(F.array("c1", "c2"))).alias("cell")).groupBy("cell").count().where(F.col("count") > CELL_CAP).collect()
-    split = {r["cell"]: -(-r["count"] // CELL_CAP) for r in counts}  # at most MOST_CELLS entries
-    member = enc.select("id", "vh", "vec", "c1", "c2", F.explode(F.array_distinct(F.array(_subcell(F.col("c1"), split), _subcell(F.col("c2"), split)))).alias("cell"))
+def _inside_cells(enc: DataFrame, spark: SparkSession, keep: int) -> tuple[DataFrame, list[int]]:
+    """Exact neighbour lists inside every cell, best first, and the cells beyond the cap.
+
+    Nodes of two cells have two lists, those of a cell beyond the cap one per block.
+    """
+    enc = _leave_copies(enc)
+    cells = F.explode(F.array_distinct(F.array("c1", "c2"))).alias("cell")
+    counts = enc.select(cells).groupBy("cell").count().where(F.col("count") > CELL_CAP).collect()
+    split = {r["cell"]: -(-2 * r["count"] // CELL_CAP) for r in counts}  # at most MOST_CELLS entries; two parts make a block
+    member = _blocks(enc.select("id", "vh", "vec", "c1", "c2", cells), split)
 
     def run(table: pa.Table) -> pa.Table:
         ids = table.column("id").to_numpy()
@@ -218,28 +238,39 @@ def _inside_cells(enc: DataFrame, spark: SparkSession, keep: int) -> DataFrame:
         length = np.sqrt(np.einsum("ij,ij->i", raw, raw, dtype=np.float64))
         quick = raw / length[:, None].astype(np.float32)
         c1, c2 = table.column("c1").to_numpy()[rows], table.column("c2").to_numpy()[rows]
-        n, k = len(ids), min(keep, len(ids) - 1)
-        own, cos, who = [], [], []
-        for lo in range(0, n if k else 0, 512):
-            part = np.arange(lo, min(lo + 512, n))
-            scores = quick[part] @ quick.T
-            scores[np.arange(len(part)), part] = -9
-            best = _best(scores, k)
-            dots = np.stack([raw[best[i]].astype(np.float64) @ raw[p].astype(np.float64) for i, p in enumerate(part)])
-            dots = np.round(dots / length[best] / length[part][:, None], DECIMALS)
-            order = np.lexsort((ids[best], -dots), axis=1)
-            own.append(part)
-            who.append(np.take_along_axis(best, order, 1))
-            cos.append(np.take_along_axis(dots, order, 1))
-        if not own:
-            own, who, cos = [np.arange(n)], [np.zeros((n, 0), int)], [np.zeros((n, 0))]
-        at, near, value = np.concatenate(own), np.concatenate(who), np.concatenate(cos)
-        flat = near.ravel()
-        entry = pa.StructArray.from_arrays([pa.array(value.ravel()), pa.array(ids[flat]), pa.array(c1[flat]), pa.array(c2[flat])], names=["cos", "id", "c1", "c2"])
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * near.shape[1], pa.int32()), entry)
-        return pa.table({"u": pa.array(ids[at]), "c1": pa.array(c1[at]), "c2": pa.array(c2[at]), "near": lists})
-
-    return member.repartition(spread(spark), "cell").groupBy("cell").applyInArrow(run, GRAPH)
+        parts = table.column("part").to_numpy()[rows]
+        sides = [np.flatnonzero(parts == x) for x in np.unique(parts)]
+        crossed = table.column("a")[0].as_py() != table.column("b")[0].as_py()
+        if crossed and len(sides) < 2:
+            return pa.table({"u": ids[:0], "c1": c1[:0], "c2": c2[:0], "near": pa.array([], LISTS)})
+        out = []
+        for asked, held in [(sides[0], sides[1]), (sides[1], sides[0])] if crossed else [(sides[0], sides[0])]:
+            k = min(keep, len(held) - (not crossed))
+            facing = quick[held] if crossed else quick
+            own, cos, who = [], [], []
+            for lo in range(0, len(asked) if k else 0, 512):
+                part = asked[lo : lo + 512]
+                scores = quick[part] @ facing.T
+                if not crossed:
+                    scores[np.arange(len(part)), np.arange(lo, lo + len(part))] = -9
+                best = held[_best(scores, k)]
+                dots = np.stack([raw[best[i]].astype(np.float64) @ raw[p].astype(np.float64) for i, p in enumerate(part)])
+                dots = np.round(dots / length[best] / length[part][:, None], DECIMALS)
+                order = np.lexsort((ids[best], -dots), axis=1)
+                own.append(part)
+                who.append(np.take_along_axis(best, order, 1))
+                cos.append(np.take_along_axis(dots, order, 1))
+            if not own:
+                own, who, cos = [asked], [np.zeros((len(asked), 0), int)], [np.zeros((len(asked), 0))]
+            at, near, value = np.concatenate(own), np.concatenate(who), np.concatenate(cos)
+            flat = near.ravel()
+            entry = pa.StructArray.from_arrays([pa.array(value.ravel()), pa.array(ids[flat]), pa.array(c1[flat]), pa.array(c2[flat])], names=["cos", "id", "c1", "c2"])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * near.shape[1], pa.int32()), entry)
+            out.append(pa.table({"u": pa.array(ids[at]), "c1": pa.array(c1[at]), "c2": pa.array(c2[at]), "near": lists}))
+        return pa.concat_tables(out)
+
+    key = ["cell", "a", "b"] if split else ["cell"]
+    return member.repartition(spread(spark), *key).groupBy(*key).applyInArrow(run, GRAPH), list(split)
 
 
 def _merge(lists: DataFrame, keep: int) -> DataFrame:
@@ -305,8 +336,10 @@ def _compare(pairs: DataFrame, enc: DataFrame, spark: SparkSession) -> DataFrame
 def neighbour_graph(spark: SparkSession, enc: DataFrame, work: Workspace, k: int = 10, slack: int = 6, delta: float = 0.002, max_rounds: int = 8) -> DataFrame:
     """NN-descent over the encoded table: (u, c1, c2, near), near best first, k + slack long."""
     keep = k + slack
-    lists = work.save(_inside_cells(enc, spark, keep), "lists")
-    graph = work.save(lists.where("c1 = c2").unionByName(_merge(lists.where("c1 <> c2"), keep)), "graph-0")
+    lists, split = _inside_cells(enc, spark, keep)
+    lists = work.save(lists, "lists")
+    whole = (F.col("c1") == F.col("c2")) & ~F.col("c1").isin(split)  # these have one list
+    graph = work.save(lists.where(whole).unionByName(_merge(lists.where(~whole), keep)), "graph-0")
     work.drop("lists")
     nodes = graph.count()
     for turn in range(1, max_rounds + 1):

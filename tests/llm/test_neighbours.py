@@ -42,6 +42,15 @@ def test_equals_brute_force_on_many_cells(spark):
     assert recall >= 0.98
 
 
+def test_cells_beyond_the_cap_are_compared_whole(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "CELL_CAP", 40)
+    rng = np.random.default_rng(3)
+    rows = [(i, np.round(rng.normal(size=16), 3)) for i in range(300)]
+    rows += [(1000 + i, rows[0][1]) for i in range(150)]  # one vector held by a third of the rows
+    got, true = lists(neighbours.most_similar(spark, frame(spark, rows), "id", k=10)), brute([(i, np.float32(v)) for i, v in rows], 10)
+    assert got == true
+
+
 def test_edge_cases(spark):
     rows = [(1, [1, 0]), (2, [2, 0]), (3, [0, 1]), (4, [1, 1]), (5, None), (6, []), (7, [0, 0]), (8, [1, 2, 3]), (9, [float("nan"), 1]), (4, [1, 1])]
     got = lists(neighbours.most_similar(spark, frame(spark, rows), "id", k=2))
