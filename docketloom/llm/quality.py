@@ -40,6 +40,7 @@ STATISTICS = (
 RUNNING = STATISTICS.index("running_share")
 CLASSES = ("prose", "list", "table", "junk")
 MIN_GROUP = 30
+SPAN = 100
 LABEL_LIMIT = 20_000
 WORD_LIMIT = 20_000
 STEPS = 3
@@ -122,6 +123,22 @@ def _blocks(text: str) -> list[str]:
     return out
 
 
+def _distinct_share(names: np.ndarray) -> float:
+    """Share of different words, the mean over all windows of SPAN words, so that long texts compare with short ones."""
+    n = len(names)
+    if not n:
+        return 0.0
+    span = min(SPAN, n)
+    order = np.argsort(names, kind="stable")
+    same = names[order[1:]] == names[order[:-1]]
+    before = np.full(n, -1)
+    before[order[1:][same]] = order[:-1][same]
+    at = np.arange(n)
+    # a word is the first of its kind in the windows that start after its last occurrence
+    windows = np.minimum(at, n - span) - np.maximum(before, np.maximum(at - span, -1))
+    return float(np.maximum(windows, 0).sum() / ((n - span + 1) * span))
+
+
 def statistics(text: str, languages: list[str], tokens: _Tokens) -> tuple[str, list[float]]:
     """Language and statistics, in the order of STATISTICS, of one text that isn't blank."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -160,7 +177,6 @@ def statistics(text: str, languages: list[str], tokens: _Tokens) -> tuple[str, l
     n = max(1, int(word.sum()))
     wordy = int(letters.sum())
     names = ((codes >> 24) & 0xFFFFFFFF)[word]
-    sample = names[:100]  # of equal size, so that long texts compare with short ones
     return language, [
         np.log1p(len(text)),
         np.log1p(int(word.sum())),
@@ -175,7 +191,7 @@ def statistics(text: str, languages: list[str], tokens: _Tokens) -> tuple[str, l
         np.log1p(sum(map(len, lines)) / len(lines)),
         sum(bool(_numbered.match(x) or _leader.search(x)) for x in lines) / len(lines),
         int((letters > 18).sum()) / n,
-        len(np.unique(sample)) / max(1, len(sample)),
+        _distinct_share(names),
         odd / solid,
         min(1.0, (text.count(". ") + text.count("। ") + text.count(".\n") + 1) * 10 / n),
         wordy / solid,

@@ -73,6 +73,17 @@ PROSE = "The tenant of the market was to pay for the use of it in a year. It is
 KINDS = {"list": "1. apples\n2. pears\n3. plums\n4. figs\n5. dates\n", "table": "12,5.1,77%\n13,6.2,45%\n14,7.3,12%\n", "junk": "<td>px;</td>var x1};{margin:0}&nbsp;"}
 
 
+def test_distinct_words_of_the_whole_text():
+    position = quality.STATISTICS.index("distinct_word_share")
+    share = lambda words: quality.statistics(" ".join(words), ["en"], quality._Tokens({"en": frozenset(["the", "of"])}))[1][position]
+    rng = random.Random(8)
+    fresh = ["".join(rng.choice("bcdfghklm") + rng.choice("aeiou") for _ in range(4)) for _ in range(100)]
+    for words in (fresh, fresh[:7] * 3, fresh + ["again"] * 300, ["again"] * 300 + fresh, [rng.choice(fresh) for _ in range(257)]):
+        spans = [words[i : i + 100] for i in range(max(1, len(words) - 99))]
+        assert abs(share(words) - sum(len(set(x)) / len(x) for x in spans) / len(spans)) < 1e-12
+    assert share(fresh + ["again"] * 300) < 0.3
+
+
 def test_quality(spark):
     rng = random.Random(7)
     rows, labels = [], []
