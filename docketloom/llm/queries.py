@@ -23,6 +23,13 @@ def p1_search(spark: SparkSession, folder: str) -> DataFrame:
     return search.greedy_search(spark, rows.where("section_id % 50 = 0"), rows, "section_id")
 
 
+def p1_search_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Every fiftieth chunk vector, as delivered last, searches all of them by the greedy graph walk."""
+    rows = table(spark, folder, "judgment_embeddings")
+    last = rows.where("chunk_id % 50 = 0 and embedding is not null").groupBy("chunk_id").agg(F.max(F.struct("created_at", "embedding"))["embedding"].alias("embedding"))
+    return search.greedy_search(spark, last, rows, "chunk_id", order_col="created_at")
+
+
 def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     """Shares of the tokens that the mixture reaches, beside the targets."""
     documents, goal = table(spark, folder, "documents"), table(spark, folder, "mix_targets")
@@ -89,7 +96,7 @@ def p8_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (p1_found, p1_search, p2_found, p2_parties, p3_found, p3_groups, p4_found, p4_pieces, p5_found, p5_text, p6_pack, p6_fill, p7_mix, p7_shares, p8_found, p8_quality)
+    found = (p1_found, p1_search, p1_search_chunks, p2_found, p2_parties, p3_found, p3_groups, p4_found, p4_pieces, p5_found, p5_text, p6_pack, p6_fill, p7_mix, p7_shares, p8_found, p8_quality)
     return {f.__name__: f for f in found}
 
 

@@ -93,3 +93,27 @@ def test_greedy_search_recall(spark):
     assert np.mean(hits) >= 0.9
     assert search.greedy_search(spark, frame(spark, []), frame(spark, rows), "id").count() == 0
 
+
+
+def test_search_over_all_chunks(spark, data):
+    from docketloom.llm.queries import queries
+
+    rows = spark.read.parquet(f"{data}/judgment_embeddings.parquet").where("embedding is not null")
+    last = {}
+    for r in rows.select("chunk_id", "created_at", "embedding").collect():
+        if r[0] not in last or r[1] > last[r[0]][0]:
+            last[r[0]] = (r[1], np.float32(r[2]))
+    found = {}
+    for r in queries()["p1_search_chunks"](spark, data).collect():
+        found.setdefault(r["query_id"], []).append(r["cosine"])
+    ids = sorted(last)
+    x = np.array([last[i][1] for i in ids], np.float64)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    first = {}
+    for i, v in zip(ids, x, strict=True):
+        first.setdefault(v.tobytes(), i)  # copies are found as their smallest id
+    x = x[[n for n, i in enumerate(ids) if first[x[n].tobytes()] == i]]
+    asked = [i for i in ids if i % 50 == 0]
+    assert asked and set(found) == set(asked)
+    hits = [np.mean(np.array(found[i]) >= np.sort(x @ (v := last[i][1].astype(np.float64)) / np.linalg.norm(v))[-10] - 1e-6) for i in asked]
+    assert np.mean(hits) >= 0.9
