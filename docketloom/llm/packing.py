@@ -2,11 +2,12 @@
 
 Texts are measured and indexed in tokens of a public tokenizer. The index is
 sharded: document shards of bounded size, each with its own inverted lists, all
-scored with BM25 statistics of the whole corpus. In a shard the largest unused
-text seeds a container; its unused BM25 neighbours that still fit are added
-best first, then the largest texts that fit close the remaining gap. Containers
-left too empty are opened and packed once more among themselves, and the last
-round gathers what is left of many shards.
+scored with BM25 statistics of the whole corpus. The largest unused texts seed
+containers, a bounded block of them at a time: every shard is asked for the
+neighbours of every seed, the lists are merged, and in the order of their size
+the seeds take their best neighbours that are unused and still fit. Then the
+largest texts that fit close the remaining gaps. Containers left too empty are
+opened and packed once more among themselves.
 
 The term statistics are counts per token id, so their size is bounded by the
 tokenizer's vocabulary and may be broadcast.
@@ -23,8 +24,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from docketloom.llm.tokens import TOKENIZER, VOCABULARY, encode
 from docketloom.workspace import Workspace, spread
@@ -36,9 +39,13 @@ COMMON_SHARE = 0.1
 CLOSE_AT = 0.1
 REOPEN_BELOW = 0.97
 ROUNDS = 2
+SEEDS = 4_096
+NEAREST = 64
+NO_ID = -(2**63)  # stands for a null doc_id, which no join would match
 
 ITEMS = "doc_id long, copy long, start long, n long, terms array<int>, tf array<int>"
-PLACES = "container string, doc_id long, copy long, start long, n long, terms array<int>, tf array<int>, fill long"
+PLACES = "container string, doc_id long, copy long, start long, n long, fill long"
+KEY = ["doc_id", "copy", "start"]
 
 
 def items_of(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -81,21 +88,20 @@ class Shard:
     """Inverted lists of one shard with BM25 weights of the whole corpus."""
 
     def __init__(self, starts: np.ndarray, terms: np.ndarray, tf: np.ndarray, size: np.ndarray, frequency: np.ndarray, total: int, mean: float):
-        self.size, self.starts, self.terms = size, starts, terms
+        self.size = size
         owner = np.repeat(np.arange(len(size)), np.diff(starts))
         idf = np.log1p((total - frequency + 0.5) / (frequency + 0.5))
-        keep = frequency <= max(COMMON_SHARE * total, 50)  # the rest has next to no weight
-        self.query = keep[terms]
+        keep = self.keep = frequency <= max(COMMON_SHARE * total, 50)  # the rest has next to no weight
+        used = keep[terms]
         weight = idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[owner] / mean))
-        order = np.argsort(terms[self.query], kind="stable")
-        self.by_term = owner[self.query][order].astype(np.int32)
-        self.weight = weight[self.query][order].astype(np.float32)
-        sorted_terms = terms[self.query][order]
+        order = np.argsort(terms[used], kind="stable")
+        self.by_term = owner[used][order].astype(np.int32)
+        self.weight = weight[used][order].astype(np.float32)
+        sorted_terms = terms[used][order]
         self.first = np.searchsorted(sorted_terms, np.arange(VOCABULARY + 1))
 
-    def scores(self, seed: int) -> np.ndarray:
-        mine = slice(self.starts[seed], self.starts[seed + 1])
-        words = self.terms[mine][self.query[mine]]
+    def scores(self, words: np.ndarray) -> np.ndarray:
+        words = words[self.keep[words]]
         lo, hi = self.first[words], self.first[words + 1]
         length = hi - lo
         if not length.sum():
@@ -104,75 +110,148 @@ class Shard:
         return np.bincount(self.by_term[at], self.weight[at], len(self.size))
 
 
-def pack(shard: Shard, capacity: int) -> np.ndarray:
-    """Container number of every item of a shard."""
-    size = shard.size
-    place = np.full(len(size), -1, np.int64)
-    by_size = np.argsort(-size, kind="stable")
-    free = np.ones(len(size), bool)
-    smallest = size.min() if len(size) else 0
-    box = 0
-    for seed in by_size:
-        if not free[seed]:
-            continue
-        free[seed] = False
-        place[seed] = box
-        room = capacity - size[seed]
-        if room >= smallest:
-            score = shard.scores(seed)
-            score[~free | (size > room)] = 0
-            near = np.flatnonzero(score > 0)
-            for item in near[np.argsort(-score[near], kind="stable")]:
-                if room < CLOSE_AT * capacity:
-                    break
-                if size[item] <= room:
-                    free[item] = False
-                    place[item] = box
-                    room -= size[item]
-        while room >= smallest:
-            left = by_size[free[by_size]]
-            at = np.searchsorted(-size[left], -room)
-            if at == len(left):
-                break
-            item = left[at]  # the largest text that fits
-            free[item] = False
-            place[item] = box
-            room -= size[item]
-        box += 1
-    return place
+def _free(items: DataFrame, taken: DataFrame | None) -> DataFrame:
+    return items if taken is None else items.join(taken, KEY, "left_anti")
 
 
-def _round(items: DataFrame, spark: SparkSession, turn: int, shard_items: int, capacity: int, stats: tuple) -> DataFrame:
-    """One round: items (doc_id, copy, start, n, terms, tf) into containers of their shard."""
+def _neighbours(free: DataFrame, seeds: DataFrame, spark: SparkSession, shard_items: int, count: int, stats: tuple, capacity: int) -> pa.Table:
+    """The NEAREST best items of every seed over all shards: (seed, score, doc_id, copy, start, n), best first."""
     frequency, total, mean = stats
-    shards = max(1, -(-items.count() // shard_items))
-    keyed = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "copy", "start", F.lit(turn)), F.lit(shards)).cast("int"))
+    shards = max(1, -(-count // shard_items))
+    rows = seeds.select("seed", *KEY, "n", "terms").toArrow()  # at most SEEDS rows
+    words = rows.column("terms").combine_chunks()
+    words = np.split(words.flatten().to_numpy(zero_copy_only=False), np.cumsum(pc.list_value_length(words).to_numpy())[:-1])
+    asked = spark.sparkContext.broadcast((list(zip(*(rows.column(c).to_pylist() for c in ("seed", *KEY, "n")), strict=True)), words))
+    keyed = free.withColumn("shard", F.pmod(F.xxhash64(*KEY), F.lit(shards)).cast("int"))
 
-    def run(key, table):
-        table = table.combine_chunks().sort_by([("doc_id", "ascending"), ("copy", "ascending"), ("start", "ascending")])
+    def run(table):
+        table = table.combine_chunks()
         lists = table.column("terms").combine_chunks()
-        starts = np.concatenate(([0], np.cumsum([len(x) for x in lists])))
+        starts = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy())))
         terms = lists.flatten().to_numpy(zero_copy_only=False)
         tf = table.column("tf").combine_chunks().flatten().to_numpy(zero_copy_only=False)
         size = table.column("n").to_numpy()
-        place = pack(Shard(starts, terms, tf, size, frequency, total, mean), capacity)
-        fill = np.bincount(place, size)[place].astype(np.int64)
-        names = [f"{turn}-{key[0].as_py()}-{b}" for b in place]
-        plain = table.select(["doc_id", "copy", "start", "n", "terms", "tf"])
-        return plain.add_column(0, "container", pa.array(names)).append_column("fill", pa.array(fill))
+        shard = Shard(starts, terms, tf, size, frequency, total, mean)
+        keys = list(zip(*(table.column(c).to_pylist() for c in KEY), strict=True))
+        rank = np.empty(len(keys), np.int64)
+        rank[sorted(range(len(keys)), key=keys.__getitem__)] = np.arange(len(keys))
+        at = {k: i for i, k in enumerate(keys)}
+        who, what, value = [], [], []
+        for (seed, doc, copy, start, n), words in zip(*asked.value, strict=True):
+            score = shard.scores(words)
+            score[size > capacity - n] = 0
+            if (own := at.get((doc, copy, start))) is not None:
+                score[own] = 0
+            near = np.flatnonzero(score > 0)
+            if len(near) > NEAREST:
+                # all that tie with the last stay, the merge decides by id
+                near = near[score[near] >= np.partition(score[near], -NEAREST)[-NEAREST]]
+            near = near[np.lexsort((rank[near], -score[near]))][:NEAREST]
+            who.append(np.full(len(near), seed))
+            what.append(near)
+            value.append(score[near])
+        flat = np.concatenate(what).astype(np.int64)
+        return pa.table({"seed": pa.array(np.concatenate(who), pa.int64()), "score": pa.array(np.concatenate(value), pa.float64()), **{c: table.column(c).take(pa.array(flat)) for c in (*KEY, "n")}})
 
-    return keyed.repartition(spread(spark), "shard").groupBy("shard").applyInArrow(run, PLACES)
+    found = keyed.repartition(spread(spark), "shard").groupBy("shard").applyInArrow(run, "seed long, score double, doc_id long, copy long, start long, n long")
+    best = Window.partitionBy("seed").orderBy(F.desc("score"), *KEY)
+    top = found.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= NEAREST)
+    return top.orderBy("seed", "_r").drop("_r").toArrow()  # at most SEEDS * NEAREST rows
+
+
+def _fill(seeds: list[tuple], near: pa.Table, free: DataFrame, spark: SparkSession, capacity: int) -> list[list[tuple]]:
+    """Containers as lists of (doc_id, copy, start, n): seeds in order, each with its best unused
+    neighbours that fit, then with the largest unused texts that fit.
+
+    Seeds and their neighbours are known here, all other free texts by the number of every size; which
+    of them close a gap is looked up at the end. A seed whose whole list was used up by others before
+    its container is filled stays free; it asks again in the next block.
+    """
+    lists: dict[int, list[tuple]] = {}
+    for seed, *item in zip(*(near.column(c).to_pylist() for c in ("seed", *KEY, "n")), strict=True):
+        lists.setdefault(seed, []).append(tuple(item))
+    known = sorted({*seeds, *(item for some in lists.values() for item in some)}, reverse=True)
+    by_size: dict[int, list[tuple]] = {}
+    left, others = np.zeros(capacity + 1, np.int64), np.zeros(capacity + 1, np.int64)
+    for r in free.groupBy("n").count().collect():  # at most one row per size
+        left[r["n"]] = others[r["n"]] = r["count"]
+    for item in known:
+        by_size.setdefault(item[3], []).append(item)
+        others[item[3]] -= 1
+    used: set[tuple] = set()
+    boxes, wanted = [], {}
+    for number, seed in enumerate(seeds):
+        if seed in used:
+            continue
+        mine = lists.get(number, [])
+        box, room, lost = [seed], capacity - seed[3], False
+        for item in mine:
+            if room < CLOSE_AT * capacity:
+                break
+            if item in used:
+                lost = True
+            elif item[3] <= room:
+                box.append(item)
+                room -= item[3]
+        if lost and len(mine) == NEAREST and room >= CLOSE_AT * capacity and boxes:
+            continue
+        used.update(box)
+        for item in box:
+            left[item[3]] -= 1
+        while room and len(fits := np.flatnonzero(left[: room + 1])):
+            size = int(fits[-1])  # the largest text that fits
+            if others[size]:
+                others[size] -= 1
+                wanted.setdefault(size, []).append(len(boxes))
+            else:
+                while (item := by_size[size].pop()) in used:
+                    pass
+                used.add(item)
+                box.append(item)
+            left[size] -= 1
+            room -= size
+        boxes.append(box)
+    if wanted:
+        met = spark.createDataFrame([x[:3] for x in known], "doc_id long, copy long, start long")
+        need = spark.createDataFrame([(size, len(who)) for size, who in wanted.items()], "n long, need int")
+        few = free.select(*KEY, "n").join(F.broadcast(need), "n").join(met, KEY, "left_anti")
+        few = few.withColumn("_r", F.row_number().over(Window.partitionBy("n").orderBy(*KEY))).where(F.col("_r") <= F.col("need"))
+        for r in few.select(*KEY, "n").collect():
+            boxes[wanted[r["n"]].pop()].append(tuple(r))
+    return boxes
+
+
+def _round(items: DataFrame, spark: SparkSession, work: Workspace, turn: int, shard_items: int, capacity: int, stats: tuple) -> DataFrame:
+    """All items in containers: (container, doc_id, copy, start, n, fill), a block of seeds at a time."""
+    taken, block = None, 0
+    while True:
+        free = work.save(_free(items, taken), f"free-{turn}-{block}")
+        count = free.count()
+        if not count:
+            return spark.read.schema(PLACES).parquet(f"{work.root}/placed-{turn}-*") if block else spark.createDataFrame([], PLACES)
+        tokens = free.agg(F.sum("n")).first()[0]
+        # as many as the containers that the free texts need, the largest first
+        limit = min(SEEDS, -(-tokens // capacity))
+        first = free.orderBy(F.desc("n"), *KEY).limit(limit)
+        first = work.save(first.withColumn("seed", (F.row_number().over(Window.orderBy(F.desc("n"), *KEY)) - 1).cast("long")), f"seeds-{turn}-{block}")
+        seeds = [tuple(r) for r in first.orderBy("seed").select(*KEY, "n").collect()]
+        near = _neighbours(free, first, spark, shard_items, count, stats, capacity)
+        boxes = _fill(seeds, near, free, spark, capacity)
+        rows = [(f"{turn}-{block}-{b}", *x[:3], x[3], sum(y[3] for y in box)) for b, box in enumerate(boxes) for x in box]
+        placed = work.save(spark.createDataFrame(rows, PLACES), f"placed-{turn}-{block}")
+        items, taken = free, placed.select(*KEY)
+        if block:
+            work.drop(f"free-{turn}-{block - 1}")
+        block += 1
 
 
 def pack_texts(spark: SparkSession, documents: DataFrame, capacity: int = CAPACITY, shard_items: int = SHARD_ITEMS, tokenizer: str = TOKENIZER) -> DataFrame:
     """Every piece of every text with its container: (container, doc_id, copy, start_token, n_tokens, fill)."""
     work = Workspace(spark, "packing")
-    base = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null and text <> ''")
+    base = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null and text <> ''")
     # equal ids on several rows are told apart by a number that doesn't depend on partitions
     repeated = base.groupBy("doc_id").count().where("count > 1").select("doc_id").limit(1).count()
     if repeated:
-        from pyspark.sql.window import Window
-
         base = base.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")).cast("long"))
     else:
         base = base.withColumn("copy", F.lit(1).cast("long"))
@@ -182,11 +261,10 @@ def pack_texts(spark: SparkSession, documents: DataFrame, capacity: int = CAPACI
     done = [full]
     rest = items.where(F.col("n") < capacity)
     for turn in range(1, ROUNDS + 1):
-        placed = work.save(_round(rest, spark, turn, shard_items, capacity, stats), f"placed-{turn}")
-        last = turn == ROUNDS
-        done.append((placed if last else placed.where(F.col("fill") >= REOPEN_BELOW * capacity)).drop("terms", "tf"))
-        rest = placed.where(F.col("fill") < REOPEN_BELOW * capacity).drop("container", "fill")
+        placed = _round(rest, spark, work, turn, shard_items, capacity, stats)
+        done.append(placed if turn == ROUNDS else placed.where(F.col("fill") >= REOPEN_BELOW * capacity))
+        rest = rest.join(placed.where(F.col("fill") < REOPEN_BELOW * capacity), KEY, "left_semi")
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out.select("container", "doc_id", "copy", F.col("start").alias("start_token"), F.col("n").alias("n_tokens"), "fill")
+    return out.select("container", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "copy", F.col("start").alias("start_token"), F.col("n").alias("n_tokens"), "fill")

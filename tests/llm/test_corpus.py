@@ -43,6 +43,20 @@ def test_neighbours_share_a_container(spark):
     assert sum(len(v) == 1 for v in boxes.values()) >= len(boxes) - 1
 
 
+def test_neighbours_are_sought_in_all_shards(spark):
+    rng = random.Random(9)
+    rows = []
+    for topic in range(20):
+        words = ["".join(rng.choice("bcdfghklm") + rng.choice("aeiou") for _ in range(3)) for _ in range(80)]
+        for copy in range(2):
+            text = " ".join(rng.sample(words, 80) * 9)
+            rows.append((topic * 100 + copy, " ".join(text.split()[: 900 * 720 // len(encode(text))])))
+    boxes = {}
+    for r in packing.pack_texts(spark, spark.createDataFrame(rows, "doc_id long, text string"), shard_items=4).collect():
+        boxes.setdefault(r["container"], set()).add(r["doc_id"])
+    assert len(boxes) == 20 and all(len({i // 100 for i in x}) == 1 for x in boxes.values())
+
+
 def test_cut_poisson():
     for cap in (1, 2, 4):
         for mean in (0.1, 0.7, cap * 0.9):
