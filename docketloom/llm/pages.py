@@ -1,13 +1,15 @@
 """Lines of printed pages: furniture, margin marks, headings, title blocks.
 
 Everything here looks at a line and a few lines around it, so it works inside
-a range of a long text that is read with a halo.
+a range of a long text that is read with a halo. Page furniture is printed
+within the width of a page, so a line of more than ``PAGE_WIDTH`` characters is none.
 """
 
 from __future__ import annotations
 
 import re
 
+PAGE_WIDTH = 110
 MARK = re.compile(r"^[A-Z] {2,}(?=\S)")
 
 _furniture = [
@@ -51,7 +53,7 @@ def furniture(lines: list[str]) -> list[bool]:
     n = len(lines)
     out = [False] * n
     for i, line in enumerate(lines):
-        if not line or len(line) > 110 or not _digit.search(line):
+        if not line or len(line) > PAGE_WIDTH or not _digit.search(line):
             continue
         if any(p.match(line) for p in _furniture):
             out[i] = True
@@ -75,19 +77,22 @@ def furniture(lines: list[str]) -> list[bool]:
 _versus = re.compile(r"^\s*(?:[vy]|[vy][s5]|ver[s5]u[s5])\.?\s*$", re.IGNORECASE)
 
 
-def title_lines(lines: list[str], most: int = 20) -> int:
+def title_lines(lines: list[str]) -> int:
     """Number of lines of the title block at the top of a text, 0 where there is none.
 
     A block names the parties around a line ``v.`` and ends at the first blank
-    line, or where the first long line begins.
+    line, or where the first long line begins. Before that line it has neither
+    long lines nor lines of eight words that go on in lower case, as running text has; it may be of any length.
     """
-    head = lines[:most]
-    at = next((i for i, x in enumerate(head) if _versus.match(x)), None)
-    if at is None:
+    for at, line in enumerate(lines):
+        if _versus.match(line):
+            break
+        bare = line.lstrip()
+        if bare[:1].islower() and bare.count(" ") >= 7 or len(line) > 90 and not bare.startswith("("):
+            return 0
+    else:
         return 0
-    for i in range(at + 1, len(head)):
-        if not head[i].strip():
+    for i in range(at + 1, len(lines)):
+        if not lines[i].strip() or len(lines[i]) > 90 and not lines[i].lstrip().startswith("("):
             return i
-        if len(head[i]) > 90 and not head[i].lstrip().startswith("("):
-            return i
-    return len(head) if len(lines) <= most else 0
+    return len(lines)

@@ -1,17 +1,18 @@
 """Problem 4: cut oversized texts at natural boundaries, by ranges.
 
-A text is never handled as a whole: it is read in ranges of ``RANGE`` characters
-with a halo on either side. Every range reports, for the lines that start in it,
+A text is handled in ranges of ``RANGE`` characters with a halo on either side;
+a file is read in byte ranges and never loaded as a whole. Every range reports, for the lines that start in it,
 where a paragraph may begin and on what evidence, and a few counts of its
 layout. The counts are summed per text; they tell whether its paragraphs are
 marked by blank lines, indents, numbers or only by short last lines. With
 that the boundaries of all ranges are decided and stitched together by offset,
-range lengths being prefix-summed where a file is read by bytes, and pieces are
-emitted by offset.
+range lengths being prefix-summed where a file is read by bytes. Pieces are cut
+in blocks of offsets that hand on where the next piece begins, and emitted by offset.
 
 Defined results
 * null and empty texts, and texts within the limit, are one piece (empty ones none) and have no boundary;
 * a text without any boundary is cut at the last sentence end, else at the last blank, else at the limit;
+* bytes of a file that are no UTF-8 count as replacement characters; empty files have no piece;
 * an id on several rows counts once, with its (code point) greatest text;
 * extra columns are ignored, an empty table gives an empty result.
 """
@@ -33,6 +34,7 @@ LIMIT = 3_000
 OVERLAP = 200
 RANGE = 16_384
 HALO = 2_048
+BLOCK = 1 << 20
 
 HEADING, NUMBERED, INDENT, BLANK, SLACK, TITLE, PAGE_BLANK = 1, 2, 4, 8, 16, 32, 64
 
@@ -143,24 +145,41 @@ def scan_range(text: str, start: int, lo: int, hi: int) -> dict:
     }
 
 
-def ranges_of(items: DataFrame, text_col: str, size: int = RANGE, halo: int = HALO) -> DataFrame:
-    """(item, range, start, lo, hi, part): the ranges of every text with their halos."""
-    length = F.length(text_col)
-    cut = items.select("item", text_col, length.alias("_n")).select("item", text_col, "_n", F.explode(F.sequence(F.lit(0), F.expr(f"cast((_n - 1) div {size} as int)"))).alias("range"))
-    lo = F.col("range").cast("long") * size
-    start = F.greatest(F.lit(0).cast("long"), lo - halo)
-    return cut.select("item", "range", start.alias("start"), lo.alias("lo"), F.least(lo + size, F.col("_n").cast("long")).alias("hi"), F.expr(f"substring({text_col}, cast(greatest(0, range * {size} - {halo}) + 1 as int), {size + 2 * halo})").alias("part"))
+NAMES = ("pos", "flag", "need", "ends", "gaps", "width", "long_lines", "lines", "n_blank", "n_indent", "n_numbered", "n_short", "page_open", "page_total")
+LISTED = NAMES[:5]
+
+
+def _tables(rows: list[tuple[str, int, int, dict]]) -> pa.RecordBatch:
+    """Boundary tables as one batch; rows are (item, range, base, table)."""
+    columns = [pa.array([r[3][k] for r in rows], pa.list_(pa.int32()) if k in LISTED else pa.int32()) for k in NAMES]
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64()), *columns], names=["item", "range", "base", *NAMES])
+
+
+def scan_items(items: DataFrame, text_col: str, size: int = RANGE, halo: int = HALO) -> DataFrame:
+    """The boundary tables of texts held in rows: every range is a slice with its halo, so a text is walked once."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for item, text in zip(batch.column("item").to_pylist(), batch.column(text_col).to_pylist(), strict=True):
+                for k, lo in enumerate(range(0, len(text), size)):
+                    start, hi = max(0, lo - halo), min(lo + size, len(text))
+                    rows.append((item, k, lo, scan_range(text[start : hi + halo], start, lo, hi)))
+                    if len(rows) >= 2_000:
+                        yield _tables(rows)
+                        rows = []
+            yield _tables(rows)
+
+    return items.select("item", text_col).mapInArrow(run, RANGES)
 
 
 def scan(ranges: DataFrame) -> DataFrame:
-    """The boundary tables of ranges (item, range, start, lo, hi, part)."""
+    """The boundary tables of ranges read by themselves (item, range, start, lo, hi, part)."""
 
     def run(batches):
-        names = ["pos", "flag", "need", "ends", "gaps", "width", "long_lines", "lines", "n_blank", "n_indent", "n_numbered", "n_short", "page_open", "page_total"]
         for batch in batches:
-            rows = [scan_range(p, s, lo, hi) for p, s, lo, hi in zip(*(batch.column(c).to_pylist() for c in ("part", "start", "lo", "hi")), strict=True)]
-            columns = [pa.array([r[k] for r in rows], pa.list_(pa.int32()) if k in ("pos", "flag", "need", "ends", "gaps") else pa.int32()) for k in names]
-            yield pa.RecordBatch.from_arrays([batch.column("item"), batch.column("range"), batch.column("lo"), *columns], names=["item", "range", "base", *names])
+            columns = (batch.column(c).to_pylist() for c in ("item", "range", "start", "lo", "hi", "part"))
+            yield _tables([(i, k, lo, scan_range(p, s, lo, hi)) for i, k, s, lo, hi, p in zip(*columns, strict=True)])
 
     return ranges.mapInArrow(run, RANGES)
 
@@ -191,15 +210,26 @@ def decide(scanned: DataFrame) -> DataFrame:
     return spot.join(layout, "item").where(start & (F.col("start_char") > 0)).select("item", "start_char")
 
 
-def _items(df: DataFrame, kind: str, id_col: str, text_col: str, section: str | None, limit: int, only_long: bool) -> DataFrame:
+def _items(df: DataFrame, kind: str, id_col: str, text_col: str, section: str | None) -> DataFrame:
     part = F.col(section).cast("string") if section else F.lit(None).cast("string")
-    rows = df.select(F.concat_ws(":", F.lit(kind), F.col(id_col).cast("long")).alias("item"), F.col(text_col).cast("string").alias("text"), part.alias("section"), F.col(id_col).alias("_id")).where("_id is not null and text is not null and text <> ''").drop("_id")
-    return rows.where(F.length("text") > limit) if only_long else rows
+    return df.select(F.concat_ws(":", F.lit(kind), F.col(id_col).cast("long")).alias("item"), F.col(text_col).cast("string").alias("text"), part.alias("section"), F.col(id_col).alias("_id")).where("_id is not null and text is not null and text <> ''").drop("_id")
+
 
+def _items_of(sources: list[tuple]) -> DataFrame:
+    """The items of all sources, every id with one text: its rows may repeat, but are equal then.
 
-def _once(rows: DataFrame) -> DataFrame:
-    """One row per item; only the ids that come several times are regrouped."""
-    return rows.groupBy("item").agg(F.max(F.struct("text", "section")).alias("r")).select("item", "r.text", "r.section")
+    Only ids delivered with different texts or sections are regrouped, by their greatest one.
+    """
+    parts = [_items(*s) for s in sources]
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    seen = rows.select("item", F.xxhash64("text", "section").alias("h")).groupBy("item").agg(F.min("h").alias("a"), F.max("h").alias("b"))
+    torn = seen.where("a <> b").select("item")
+    if not torn.limit(1).count():
+        return rows
+    once = rows.join(torn, "item", "left_semi").groupBy("item").agg(F.max(F.struct("text", "section")).alias("r")).select("item", "r.text", "r.section")
+    return rows.join(torn, "item", "left_anti").select("item", "text", "section").unionByName(once)
 
 
 def paragraph_starts(spark: SparkSession, sources: list[tuple], limit: int = LIMIT) -> DataFrame:
@@ -208,96 +238,240 @@ def paragraph_starts(spark: SparkSession, sources: list[tuple], limit: int = LIM
     ``sources``: (table, kind, id column, text column, section column or None).
     """
     work = Workspace(spark, "splitting")
-    parts = [_items(*s, limit, True) for s in sources]
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    scanned = work.save(scan(ranges_of(_once(rows), "text")).drop("ends", "gaps"), "scanned")
-    found = decide(scanned)
-    return found.select(F.substring_index("item", ":", 1).alias("item_kind"), F.substring_index("item", ":", -1).cast("long").alias("item_id"), F.col("start_char").cast("long").alias("start_char"))
+    rows = _items_of(sources).where(F.length("text") > limit)
+    scanned = work.save(scan_items(rows, "text").drop("ends", "gaps"), "scanned").dropDuplicates(["item", "range"])
+    return _named(decide(scanned), F.col("start_char").cast("long").alias("start_char"))
 
 
-def cut_points(length: int, paragraphs: np.ndarray, sentences: np.ndarray, blanks: np.ndarray, limit: int, overlap: int) -> list[tuple[int, int, str]]:
-    """Pieces [start, end) of at most ``limit`` characters, consecutive ones sharing ``overlap``."""
-    out, start = [], 0
-    while length - start > limit:
-        top, least = start + limit, start + max(overlap + 1, limit // 4)
-        end, why = top, "limit"
-        for points, name in ((paragraphs, "paragraph"), (sentences, "sentence"), (blanks, "blank")):
+def _named(rows: DataFrame, *columns) -> DataFrame:
+    kind, number = F.substring_index("item", ":", 1), F.substring_index("item", ":", -1).cast("long")
+    return rows.select(kind.alias("item_kind"), number.alias("item_id"), *columns)
+
+
+# ---------------------------------------------------------------- cuts
+class Points:
+    """Where a text may be cut, best kind first: paragraphs, sentences, blanks."""
+
+    def __init__(self, paragraphs: np.ndarray, sentences: np.ndarray, blanks: np.ndarray, limit: int, overlap: int):
+        self.kinds = ((paragraphs, "paragraph"), (sentences, "sentence"), (blanks, "blank"))
+        self.limit, self.overlap = limit, overlap
+
+    def end(self, start: int) -> tuple[int, str]:
+        """Where the piece that begins at ``start`` ends, and why there; the text goes on beyond it."""
+        top, least = start + self.limit, start + max(self.overlap + 1, self.limit // 4)
+        for points, name in self.kinds:
             at = np.searchsorted(points, top, "right") - 1
             if at >= 0 and points[at] >= least:
-                end, why = int(points[at]), name
-                break
-        out.append((start, end, why))
-        start = end - overlap
-    out.append((start, length, "end"))
-    return out
+                return int(points[at]), name
+        return top, "limit"
+
+    def walk(self, start: int, stop: int, length: int) -> tuple[list[tuple[int, int, str]], int]:
+        """Pieces that begin in [start, stop), and where the next one begins (``length`` after the last)."""
+        out = []
+        while start < stop:
+            if length - start <= self.limit:
+                out.append((start, length, "end"))
+                return out, length
+            end, why = self.end(start)
+            out.append((start, end, why))
+            start = end - self.overlap
+        return out, start
+
 
+def cut_points(length: int, paragraphs: np.ndarray, sentences: np.ndarray, blanks: np.ndarray, limit: int, overlap: int) -> list[tuple[int, int, str]]:
+    """Pieces [start, end) of at most ``limit`` characters, consecutive ones sharing ``overlap``."""
+    return Points(paragraphs, sentences, blanks, limit, overlap).walk(0, length, length)[0]
+
+
+def _cuts(spark: SparkSession, work: Workspace, scanned: DataFrame, lengths: DataFrame, limit: int, overlap: int, block: int) -> DataFrame:
+    """(item, piece, start_char, end_char, cut) of texts longer than the limit, from offsets alone.
+
+    A text is cut in blocks of ``block`` characters. The first piece of a block
+    begins within ``limit`` of the block's start, so a block is summed up by a
+    table from that place to the place where the first piece of the next block
+    begins. The tables of a text are then chained in order, which carries the
+    state along, and all blocks are cut at once.
+    """
+    if not 0 <= overlap < limit // 4 or limit > block:
+        raise ValueError("the overlap must be less than a quarter of the limit, the limit no more than a block")
+    placed = lambda c, p: scanned.select("item", "base", F.explode(c).alias("at")).select("item", (F.col("base") + F.col("at")).alias("at"), F.lit(p).alias("p"))
+    points = decide(scanned).select("item", F.col("start_char").alias("at"), F.lit(0).alias("p")).unionByName(placed("ends", 1)).unionByName(placed("gaps", 2))
+    points = points.where("at >= 0")
+    # a piece that begins in a block may end beyond it
+    own = F.expr(f"cast(at div {block} as int)")
+    blocks = F.explode(F.array_distinct(F.array(own, F.expr(f"cast(greatest(0, at - {limit}) div {block} as int)")))).alias("block")
+    sizes = lengths.select("item", "length", F.explode(F.expr(f"sequence(0, cast((length - 1) div {block} as int))")).alias("block"))
+    keyed = points.select("item", "at", "p", blocks).groupBy("item", "block").agg(F.collect_list(F.struct("p", "at")).alias("points"))  # at most block + limit places
+    keyed = work.save(sizes.join(keyed, ["item", "block"], "left"), "points")
+
+    def held(row) -> Points:
+        found = row or []
+        return Points(*(np.unique(np.array([x["at"] for x in found if x["p"] == k], np.int64)) for k in range(3)), limit, overlap)
+
+    def chained(batches):
+        for batch in batches:
+            out = []
+            for number, length, row in zip(batch.column("block").to_pylist(), batch.column("length").to_pylist(), batch.column("points").to_pylist(), strict=True):
+                points, lo = held(row), number * block
+                stop = min(length, lo + block)
+                leads: dict[int, int] = {}
+                for first in range(min(lo + limit, stop) - 1, lo - 1, -1):
+                    way, at = [], first
+                    while at < stop and at not in leads:
+                        way.append(at)
+                        at = length if length - at <= limit else points.end(at)[0] - overlap
+                    to = leads.get(at, at)
+                    for x in way:
+                        leads[x] = to
+                out.append([leads.get(lo + k, lo + k) - lo for k in range(limit)])
+            yield pa.RecordBatch.from_arrays([batch.column("item"), batch.column("block"), pa.array(out, pa.list_(pa.int64()))], names=["item", "block", "leads"])
+
+    def carried(batches):
+        item, at = None, 0
+        for batch in (b.slice(k, 64) for b in batches for k in range(0, b.num_rows, 64)):
+            entries = []
+            for name, number, leads in zip(batch.column("item").to_pylist(), batch.column("block").to_pylist(), batch.column("leads"), strict=True):
+                if name != item:
+                    item, at = name, 0
+                entries.append(at)
+                within = at - number * block
+                if 0 <= within < limit:
+                    at = number * block + leads[within].as_py()
+            yield pa.RecordBatch.from_arrays([batch.column("item"), batch.column("block"), pa.array(entries, pa.int64())], names=["item", "block", "entry"])
+
+    long = keyed.where(F.col("length") > block)
+    tables = long.mapInArrow(chained, "item string, block int, leads array<long>")
+    entries = work.save(tables.repartition(spread(spark), "item").sortWithinPartitions("item", "block").mapInArrow(carried, "item string, block int, entry long"), "entries")
+
+    def cut(batches):
+        for batch in batches:
+            out = []
+            for item, number, length, row, entry in zip(*(batch.column(c).to_pylist() for c in ("item", "block", "length", "points", "entry")), strict=True):
+                found, _ = held(row).walk(entry or 0, min(length, (number + 1) * block), length)
+                out += [(item, number, k, *x) for k, x in enumerate(found)]
+            kinds = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["item", "block", "k", "start_char", "end_char", "cut"])
 
-def pieces(spark: SparkSession, sources: list[tuple], limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+    cuts = keyed.join(entries, ["item", "block"], "left").select("item", "block", "length", "points", "entry").mapInArrow(cut, "item string, block int, k int, start_char long, end_char long, cut string")
+    cuts = work.save(cuts, "cuts")
+    held_by = cuts.groupBy("item", "block").agg(F.count("*").alias("n"))
+    before = held_by.withColumn("before", F.sum("n").over(Window.partitionBy("item").orderBy("block")) - F.col("n")).drop("n")
+    return cuts.join(before, ["item", "block"]).select("item", (F.col("before") + F.col("k")).cast("int").alias("piece"), "start_char", "end_char", "cut")
+
+
+PIECE = "item string, piece int, start_char long, end_char long, cut string, section string, content string"
+
+
+def _piece_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["item", "piece", "start_char", "end_char", "cut", "section", "content"])
+
+
+def pieces(spark: SparkSession, sources: list[tuple], limit: int = LIMIT, overlap: int = OVERLAP, block: int = BLOCK) -> DataFrame:
     """(item_kind, item_id, piece, start_char, end_char, cut, section, content) of every text."""
     work = Workspace(spark, "pieces")
-    parts = [_items(*s, limit, False) for s in sources]
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    rows = _once(rows)
+    rows = _items_of(sources)
     long = rows.where(F.length("text") > limit)
-    scanned = work.save(scan(ranges_of(long, "text")), "scanned")
-    starts = decide(scanned).withColumn("p", F.lit(0))
-    placed = lambda c, p: scanned.select("item", "base", F.explode(c).alias("end")).select("item", (F.col("base") + F.col("end")).alias("start_char"), F.lit(p).alias("p"))
-    ends = placed("ends", 1).unionByName(placed("gaps", 2))
-
-    def run(key, table):
-        # offsets only, never the text; about one in a hundred characters has one
-        at, kind = table.column("start_char").to_numpy(), table.column("p").to_numpy()
-        length = int(table.column("length")[0].as_py())
-        cuts = cut_points(length, *(np.unique(at[(kind == k) & (at >= 0)]) for k in range(3)), limit, overlap)
-        return pa.table({"item": pa.array([key[0].as_py()] * len(cuts)), "piece": pa.array(np.arange(len(cuts), dtype=np.int32)), "start_char": pa.array([c[0] for c in cuts], pa.int64()), "end_char": pa.array([c[1] for c in cuts], pa.int64()), "cut": pa.array([c[2] for c in cuts])})
-
-    lengths = long.select("item", F.length("text").cast("long").alias("length"))
-    points = starts.unionByName(ends).unionByName(lengths.select("item", F.lit(-1).cast("long").alias("start_char"), F.lit(0).alias("p"))).join(lengths, "item")
-    cut = points.groupBy("item").applyInArrow(run, "item string, piece int, start_char long, end_char long, cut string")
-    short = rows.where(F.length("text") <= limit).select("item", F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start_char"), F.length("text").cast("long").alias("end_char"), F.lit("end").alias("cut"), "section", F.col("text").alias("content"))
-    done = cut.join(long, "item").select("item", "piece", "start_char", "end_char", "cut", "section", F.expr("substring(text, cast(start_char + 1 as int), cast(end_char - start_char as int))").alias("content"))
-    out = done.unionByName(short)
-    return out.select(F.substring_index("item", ":", 1).alias("item_kind"), F.substring_index("item", ":", -1).cast("long").alias("item_id"), "piece", "start_char", "end_char", "cut", "section", "content")
+    scanned = work.save(scan_items(long, "text"), "scanned").dropDuplicates(["item", "range"])
+    lengths = long.groupBy("item").agg(F.max(F.length("text")).cast("long").alias("length"))
+    cuts = _cuts(spark, work, scanned, lengths, limit, overlap, block)
+    # the cuts go to the text, which is sliced once and never copied for every piece
+    listed = cuts.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("piece", "start_char", "end_char", "cut"))).alias("cuts"))
+
+    def run(batches):
+        for batch in batches:
+            out, size = [], 0
+            for item, text, section, cuts in zip(*(batch.column(c).to_pylist() for c in ("item", "text", "section", "cuts")), strict=True):
+                for c in cuts or [{"piece": 0, "start_char": 0, "end_char": len(text), "cut": "end"}]:
+                    out.append((item, c["piece"], c["start_char"], c["end_char"], c["cut"], section, text[c["start_char"] : c["end_char"]]))
+                    size += c["end_char"] - c["start_char"]
+                    if size > 16_000_000:
+                        yield _piece_batch(out)
+                        out, size = [], 0
+            yield _piece_batch(out)
+
+    done = rows.dropDuplicates(["item"]).join(listed, "item", "left").select("item", "text", "section", "cuts").mapInArrow(run, PIECE)
+    return _named(done, "piece", "start_char", "end_char", "cut", "section", "content")
 
 
 # ---------------------------------------------------------------- files
-def file_ranges(spark: SparkSession, paths: list[str], size: int = RANGE * 16, halo: int = HALO * 4) -> DataFrame:
-    """Ranges of UTF-8 files, read by byte offset: (item, range, start, lo, hi, part).
+FILE_RANGE = "item string, range int, byte_lo long, byte_hi long, before long, own long, part string"
 
-    Every task opens the file, reads its own bytes and the halo, and aligns to
-    whole characters; the characters of the ranges are counted in parallel and
-    prefix-summed to turn byte ranges into character offsets.
-    """
+
+def _read(item: str, lo: int, hi: int) -> bytes:
     from pyarrow import fs
 
-    todo = []
-    for path in paths:
-        system, inner = fs.FileSystem.from_uri(path)
-        length = system.get_file_info(inner).size
-        todo += [(path, k, lo, min(lo + size, length), length) for k, lo in enumerate(range(0, length, size))]
-    if not todo:
-        return spark.createDataFrame([], "item string, range int, start long, lo long, hi long, part string")
-    plan = spark.createDataFrame(todo, "item string, range int, lo long, hi long, length long").repartition(min(len(todo), spread(spark)), "item", "range")
+    system, inner = fs.FileSystem.from_uri(re.sub(r"^file:/(?=[^/])", "file:///", item))
+    with system.open_input_file(inner) as source:
+        return source.read_at(hi - lo, lo)
+
 
-    def read(batches):
+def _whole(data: bytes, at: int) -> int:
+    """The first place from ``at`` on where a UTF-8 character begins."""
+    return next((i for i in range(at, min(at + 4, len(data))) if data[i] & 0xC0 != 0x80), min(at + 4, len(data)) if at < len(data) else len(data))
+
+
+def file_ranges(spark: SparkSession, paths: str | list[str], size: int = RANGE * 16, halo: int = HALO * 4) -> DataFrame:
+    """Ranges of UTF-8 files, read by byte offset: (item, range, byte_lo, start, lo, hi, part).
+
+    Only names and lengths of the files are listed. Every task opens its file, reads
+    the bytes of its range and a halo, and aligns them to whole characters; the characters
+    of the ranges are counted in parallel and prefix-summed to turn byte ranges
+    into character offsets. ``paths``: files, folders or patterns; empty files have no range.
+    """
+    listed = spark.read.format("binaryFile").load(paths).select(F.col("path").alias("item"), "length").where("length > 0")
+    plan = listed.select("item", "length", F.explode(F.expr(f"sequence(0, cast((length - 1) div {size} as int))")).alias("range")).repartition(spread(spark), "item", "range")
+
+    def run(batches):
         for batch in batches:
             rows = []
-            for path, k, lo, hi, length in zip(*(batch.column(c).to_pylist() for c in ("item", "range", "lo", "hi", "length")), strict=True):
-                system, inner = fs.FileSystem.from_uri(path)
-                with system.open_input_file(inner) as source:
-                    first = max(0, lo - halo)
-                    data = source.read_at(min(length, hi + halo) - first, first)
-                skip = lambda at: next((i for i in range(at, min(at + 4, len(data))) if data[i] & 0xC0 != 0x80), len(data))
-                a, b, c = skip(0), skip(lo - first), skip(hi - first) if hi < length else len(data)
+            for item, length, k in zip(*(batch.column(c).to_pylist() for c in ("item", "length", "range")), strict=True):
+                lo, hi = k * size, min((k + 1) * size, length)
+                first = max(0, lo - halo)
+                data = _read(item, first, min(length, hi + halo))
+                a, b = _whole(data, 0) if first else 0, _whole(data, lo - first) if lo else 0
+                c = _whole(data, hi - first) if hi < length else len(data)
                 before, own = data[a:b].decode("utf-8", "replace"), data[b:c].decode("utf-8", "replace")
-                rows.append((path, k, len(before), len(own), before + own + data[c:].decode("utf-8", "ignore")))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64()), pa.array([r[4] for r in rows])], names=["item", "range", "before", "own", "part"])
+                rows.append((item, k, first + b, first + c, len(before), len(own), before + own + data[c:].decode("utf-8", "ignore")))
+                if len(rows) >= 64:
+                    yield batch_of(rows)
+                    rows = []
+            yield batch_of(rows)
 
-    parts = plan.mapInArrow(read, "item string, range int, before long, own long, part string")
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["item", "range", "byte_lo", "byte_hi", "before", "own", "part"])
+
+    parts = plan.mapInArrow(run, FILE_RANGE)
     sums = Window.partitionBy("item").orderBy("range")
     base = parts.select("item", "range", "own").withColumn("lo", F.sum("own").over(sums) - F.col("own")).drop("own")
-    return parts.join(base, ["item", "range"]).select("item", "range", (F.col("lo") - F.col("before")).alias("start"), "lo", (F.col("lo") + F.col("own")).alias("hi"), "part")
+    return parts.join(base, ["item", "range"]).select("item", "range", "byte_lo", "byte_hi", (F.col("lo") - F.col("before")).alias("start"), "lo", (F.col("lo") + F.col("own")).alias("hi"), "part")
+
+
+def file_pieces(spark: SparkSession, paths: str | list[str], limit: int = LIMIT, overlap: int = OVERLAP, size: int = RANGE * 16, halo: int = HALO * 4, block: int = BLOCK) -> DataFrame:
+    """(item, piece, start_char, end_char, cut, content) of UTF-8 files, none of them ever held as a whole.
+
+    Ranges report their boundaries, the cuts are found by offset, and every piece
+    is read again from the bytes of the range it begins in and those right behind it.
+    """
+    work = Workspace(spark, "file-pieces")
+    ranges = file_ranges(spark, paths, size, halo)
+    table = work.save(ranges.select("item", "range", "byte_lo", "byte_hi", "lo", "hi"), "ranges")
+    scanned = work.save(scan(ranges), "scanned")
+    lengths = table.groupBy("item").agg(F.max("hi").alias("length")).where("length > 0")
+    cuts = _cuts(spark, work, scanned, lengths, limit, overlap, block)
+    # the range a piece begins in is found over a grid of places, as a range covers few squares of it
+    grid = max(1, size // 4)
+    square = table.where("hi > lo").select("item", "range", "byte_lo", "byte_hi", "lo", "hi", F.explode(F.expr(f"sequence(lo div {grid}, (hi - 1) div {grid})")).alias("square"))
+    met = cuts.withColumn("square", F.expr(f"start_char div {grid}")).join(square, ["item", "square"]).where("start_char >= lo and start_char < hi")
+    grouped = met.groupBy("item", "range", "byte_lo", "byte_hi", "lo").agg(F.array_sort(F.collect_list(F.struct("piece", "start_char", "end_char", "cut"))).alias("cuts"))
+
+    def run(batches):
+        for batch in batches:
+            for item, lo_byte, hi_byte, lo, cuts in zip(*(batch.column(c).to_pylist() for c in ("item", "byte_lo", "byte_hi", "lo", "cuts")), strict=True):
+                text = _read(item, lo_byte, hi_byte).decode("utf-8", "replace")
+                # a piece reaches beyond its range by at most the limit, in characters of up to four bytes
+                text += _read(item, hi_byte, hi_byte + 4 * limit + 4).decode("utf-8", "replace") if cuts[-1]["end_char"] - lo > len(text) else ""
+                yield _piece_batch([(item, c["piece"], c["start_char"], c["end_char"], c["cut"], None, text[c["start_char"] - lo : c["end_char"] - lo]) for c in cuts])
+
+    return grouped.repartition(spread(spark), "item", "range").mapInArrow(run, PIECE).drop("section")

@@ -30,11 +30,28 @@ def test_every_paragraph_is_found(spark, layout):
 def test_ranges_do_not_matter(spark):
     text = texts()["blank"]
     df = spark.createDataFrame([("judgment:1", text)], "item string, text string")
-    one = {r["start_char"] for r in splitting.decide(splitting.scan(splitting.ranges_of(df, "text", 100_000))).collect()}
-    many = {r["start_char"] for r in splitting.decide(splitting.scan(splitting.ranges_of(df, "text", 1_000, 400))).collect()}
+    one = {r["start_char"] for r in splitting.decide(splitting.scan_items(df, "text", 100_000)).collect()}
+    many = {r["start_char"] for r in splitting.decide(splitting.scan_items(df, "text", 1_000, 400)).collect()}
     assert one == many and len(one) > 100
 
 
+@pytest.mark.parametrize("limit", [400, 1_000])
+def test_blocks_do_not_matter(spark, limit):
+    rng = random.Random(6)
+    words = " ".join(rng.choice(["alpha.", "Beta", "gamma", "x" * rng.randint(1, 900)]) for _ in range(600))
+    df = spark.createDataFrame([(1, words, "facts"), (2, texts()["blank"], "facts"), (3, "y" * 7_001, None)], "id long, content string, section string")
+    sources = [(df, "chunk", "id", "content", "section")]
+    one = sorted(tuple(r) for r in splitting.pieces(spark, sources, limit, 50).collect())
+    many = sorted(tuple(r) for r in splitting.pieces(spark, sources, limit, 50, block=1_000).collect())
+    assert one == many and len(one) > 50
+
+
+def test_ids_delivered_with_different_texts(spark):
+    df = spark.createDataFrame([(1, "a" * 3_500, None), (1, "b" * 3_100, "facts"), (2, "c" * 3_500, None), (2, "c" * 3_500, None)], "id long, content string, section string")
+    got = splitting.pieces(spark, [(df, "chunk", "id", "content", "section")]).collect()
+    assert sorted((r["item_id"], r["piece"], r["content"][0]) for r in got) == [(1, 0, "b"), (1, 1, "b"), (2, 0, "c"), (2, 1, "c")]
+
+
 def test_pieces_round_trip(spark):
     rng = random.Random(5)
     rows = [(1, texts()["blank"], "facts"), (2, "short", None), (3, None, "facts"), (4, "", "facts"), (5, "x" * 20_000, "ratio"), (6, " ".join(rng.choice(["alpha.", "Beta", "gamma"]) for _ in range(4_000)), "issues"), (2, "short", None), (7, "a. B", "facts")]
@@ -68,5 +85,19 @@ def test_empty(spark):
 def test_file_ranges(spark, tmp_path):
     text = ("Zeile mit Ümlauten – und हिन्दी.\n\n" * 3_000)[:-2]
     (tmp_path / "big.txt").write_text(text, encoding="utf-8")
-    rows = splitting.file_ranges(spark, [f"file://{tmp_path}/big.txt"], 10_000, 400).orderBy("range").collect()
+    rows = splitting.file_ranges(spark, f"file://{tmp_path}/big.txt", 10_000, 400).orderBy("range").collect()
     assert "".join(r["part"][r["lo"] - r["start"] : r["hi"] - r["start"]] for r in rows) == text and len(rows) > 5
+
+
+def test_file_pieces_equal_those_of_the_text(spark, tmp_path):
+    files = {"a.txt": texts()["blank"] * 3, "b.txt": ("Ümlaut über Satz. Noch einer – हिन्दी में।  " * 900), "c.txt": "short", "d.txt": ""}
+    for name, text in files.items():
+        (tmp_path / name).write_text(text, encoding="utf-8")
+    got = {}
+    for r in splitting.file_pieces(spark, f"file://{tmp_path}", size=7_001, halo=4_000, block=5_000).collect():
+        got.setdefault(r["item"].rsplit("/", 1)[1], []).append((r["piece"], r["start_char"], r["end_char"], r["cut"], r["content"]))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(files.values())], "id long, text string")
+    want = {}
+    for r in splitting.pieces(spark, [(df, "file", "id", "text", None)]).collect():
+        want.setdefault(list(files)[r["item_id"]], []).append((r["piece"], r["start_char"], r["end_char"], r["cut"], r["content"]))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
