@@ -1,16 +1,23 @@
 """Problem 6: fill containers of fixed capacity with texts, by lexical retrieval packing.
 
-Texts are measured and indexed in tokens of a public tokenizer. The index is
-sharded: document shards of bounded size, each with its own inverted lists, all
-scored with BM25 statistics of the whole corpus. The largest unused texts seed
-containers, a bounded block of them at a time: every shard is asked for the
-neighbours of every seed, the lists are merged, and in the order of their size
-the seeds take their best neighbours that are unused and still fit. Then the
-largest texts that fit close the remaining gaps. Containers left too empty are
-opened and packed once more among themselves.
-
-The term statistics are counts per token id, so their size is bounded by the
-tokenizer's vocabulary and may be broadcast.
+Texts are measured and indexed in tokens of a public tokenizer. The inverted
+index is sharded by content: texts are placed in cells by a random projection
+of their BM25 weights, so the texts a seed scores best with lie in few shards. The
+largest unused texts are the seeds of containers, as many as the free texts need.
+Every seed asks the shards of its ``PROBES`` nearest cells, which score it with BM25
+over all its tokens and statistics of the whole corpus; the lists are merged, and
+in the order of their size the seeds take their best unused neighbours that fit; a seed
+taken by a larger one opens no container. This is settled region by region, a region
+holding a bounded number of containers, and texts that several regions claim go to the
+container they score best with. Containers whose list is used up ask again among the
+texts left, with new seeds as far as their room doesn't do. Gaps are then closed with the largest
+texts that fit, planned on the counts of every size and of every gap. Containers left too
+empty are opened and packed once more by size, if that takes fewer of them.
+
+The centres of the cells are fitted on at most ``SAMPLE`` texts and are at most
+``MOST_CELLS``; all texts are placed. A cell that holds more than a shard is split in parts
+that are all asked. The term statistics are counts per token id, so their size is
+bounded by the tokenizer's vocabulary and may be broadcast.
 
 Defined results
 * a text longer than the capacity is cut at multiples of it; full pieces are containers of their
@@ -24,225 +31,467 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docketloom.llm.neighbours import grow_cells
 from docketloom.llm.tokens import TOKENIZER, VOCABULARY, encode
 from docketloom.workspace import Workspace, spread
 
 CAPACITY = 2_048
 SHARD_ITEMS = 3_000
+PROBES = 6
+SAMPLE = 16_384
+MOST_CELLS = 2_048
+WIDTH, SIGNS = 256, 8  # of the random projection
 K1, B = 1.2, 0.75
-COMMON_SHARE = 0.1
+DENSE_SHARE = 0.03
 CLOSE_AT = 0.1
 REOPEN_BELOW = 0.97
-ROUNDS = 2
-SEEDS = 4_096
-NEAREST = 64
-NO_ID = -(2**63)  # stands for a null doc_id, which no join would match
+ASKS = 4
+REGION = 65_536
+NEAREST = 32
+SEEDS_A_TASK = 4_096
+REST = 0.02  # of the tokens: the last texts are placed by size alone
+SETTLED = 0.01  # of the items placed: fewer lost claims are left to the next question
+SALT = 16
+NO_ID = -(2**63)  # stands for a null doc_id
 
-ITEMS = "doc_id long, copy long, start long, n long, terms array<int>, tf array<int>"
-PLACES = "container string, doc_id long, copy long, start long, n long, fill long"
 KEY = ["doc_id", "copy", "start"]
+ITEMS = "doc_id long, copy long, start long, n long, tokens binary"
+LIST = "array<struct<d:float,iid:long,n:int>>"
+LIST_TYPE = pa.list_(pa.struct([("d", pa.float32()), ("iid", pa.int64()), ("n", pa.int32())]))
+
+
+# ---------------------------------------------------------------- items
+def _pack(terms: np.ndarray, tf: np.ndarray) -> bytes:
+    """Sorted token ids as steps, with their counts, compressed."""
+    import zstandard
+
+    wide = len(terms) and int(terms[-1]) >= 1 << 16
+    steps = np.diff(terms, prepend=0).astype(np.uint32 if wide else np.uint16)
+    return bytes([bool(wide)]) + zstandard.ZstdCompressor(level=1).compress(steps.tobytes() + tf.astype(np.uint16).tobytes())
+
+
+def _unpack(blob: bytes, plain) -> tuple[np.ndarray, np.ndarray]:
+    raw, width = plain.decompress(blob[1:]), 4 if blob[0] else 2
+    n = len(raw) // (width + 2)
+    return np.cumsum(np.frombuffer(raw, np.uint32 if width == 4 else np.uint16, n), dtype=np.int64), np.frombuffer(raw, np.uint16, n, n * width)
+
+
+def _unpacked(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of terms of every row, terms, counts) of a column of packed tokens."""
+    import zstandard
+
+    plain = zstandard.ZstdDecompressor()
+    parts = [_unpack(x.as_py(), plain) for x in column]
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16)
+    return np.array([len(p[0]) for p in parts]), np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
 
 def items_of(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER) -> DataFrame:
-    """Pieces to place: (doc_id, copy, start, n, terms, tf); full pieces carry no terms."""
+    """Pieces to place: (doc_id, copy, start, n, tokens); full pieces carry no tokens."""
 
     def run(batches):
         for batch in batches:
-            rows = {k: [] for k in ("doc_id", "copy", "start", "n", "terms", "tf")}
+            rows = []
             for doc, copy, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "copy", "text")), strict=True):
-                ids = np.array(encode(text, tokenizer), np.int32)
+                ids = np.array(encode(text, tokenizer), np.int64)
                 for lo in range(0, len(ids), capacity):
                     part = ids[lo : lo + capacity]
-                    terms, tf = np.unique(part, return_counts=True) if len(part) < capacity else (part[:0], part[:0])
-                    for k, v in zip(rows, (doc, copy, lo, len(part), terms, tf.astype(np.int32)), strict=True):
-                        rows[k].append(v)
-            lists = lambda k: pa.array(rows[k], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*(pa.array(rows[k], pa.int64()) for k in ("doc_id", "copy", "start", "n")), lists("terms"), lists("tf")], names=list(rows))
+                    rows.append((doc, copy, lo, len(part), _pack(*np.unique(part, return_counts=True)) if len(part) < capacity else None))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64() if k < 4 else pa.binary()) for k in range(5)], names=[*KEY, "n", "tokens"])
 
     return documents.mapInArrow(run, ITEMS)
 
 
-def term_statistics(items: DataFrame) -> tuple[np.ndarray, int, float]:
-    """Document frequency per token id over all items, their number and mean length."""
+class Statistics:
+    """Document frequency per token id, number of items and their mean length."""
 
-    def run(batches):
-        count = np.zeros(VOCABULARY, np.int64)
+    def __init__(self, items: DataFrame):
+        def run(batches):
+            count = np.zeros(VOCABULARY, np.int64)
+            for batch in batches:
+                count += np.bincount(_unpacked(batch.column("tokens"))[1], minlength=VOCABULARY)
+            some = np.flatnonzero(count)
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(count[some])], names=["term", "df"])
+
+        counted = items.select("tokens").mapInArrow(run, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+        self.frequency = np.zeros(VOCABULARY, np.int64)  # at most one row per token id of the vocabulary
+        self.frequency[counted.column("term").to_numpy()] = counted.column("df").to_numpy()
+        whole = items.agg(F.count("*").alias("n"), F.avg("n").alias("mean")).first()
+        self.total, self.mean = whole["n"], whole["mean"] or 1.0
+        self.idf = np.log1p((self.total - self.frequency + 0.5) / (self.frequency + 0.5)).astype(np.float32)
+
+    def weights(self, terms: np.ndarray, tf: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """BM25 weight of every term in the item that has it; ``size`` is the item's length."""
+        return (self.idf[terms] * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / self.mean)))).astype(np.float32)
+
+
+def _projected(counts: np.ndarray, terms: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Sparse random projection of weighted items: every token has SIGNS places of its own."""
+    rng = np.random.default_rng(17)
+    place, sign = rng.integers(0, WIDTH, (VOCABULARY, SIGNS)), rng.choice(np.array([-1, 1], np.float32), (VOCABULARY, SIGNS))
+    rows, out, stop = len(counts), np.zeros((len(counts), WIDTH), np.float32), np.concatenate(([0], np.cumsum(counts)))
+    for lo in range(0, rows, 1_000):
+        hi = min(rows, lo + 1_000)
+        t, w = terms[stop[lo] : stop[hi]], weight[stop[lo] : stop[hi]]
+        at = np.repeat(np.arange(hi - lo) * WIDTH, counts[lo:hi])[:, None] + place[t]
+        out[lo:hi] = np.bincount(at.ravel(), (w[:, None] * sign[t]).ravel(), (hi - lo) * WIDTH).reshape(-1, WIDTH)
+    return out / np.maximum(np.linalg.norm(out, axis=1), 1e-9)[:, None]
+
+
+def _placed(items: DataFrame, stats: Statistics, shard_items: int) -> DataFrame:
+    """``items`` with ``near``, the PROBES nearest cells of every item, nearest first."""
+    told = items.sparkSession.sparkContext.broadcast(stats)
+
+    def vectors(batch) -> np.ndarray:
+        counts, terms, tf = _unpacked(batch.column("tokens"))
+        return _projected(counts, terms, told.value.weights(terms, tf, np.repeat(batch.column("n").to_numpy(), counts)))
+
+    def sampled(batches):
         for batch in batches:
-            count += np.bincount(batch.column("terms").flatten().to_numpy(zero_copy_only=False), minlength=VOCABULARY)
-        some = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(count[some])], names=["term", "df"])
+            yield pa.RecordBatch.from_arrays([pa.array([v.astype(np.float16).tobytes() for v in vectors(batch)], pa.binary())], names=["v"])
+
+    share = min(1.0, SAMPLE / max(stats.total, 1))
+    some = items.where(F.pmod(F.xxhash64(*KEY), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("n", "tokens").limit(SAMPLE).mapInArrow(sampled, "v binary").toArrow().column("v").to_pylist()
+    sample = np.frombuffer(b"".join(some), np.float16).reshape(-1, WIDTH).astype(np.float32)
+    middle = sample.mean(0)
+    sample = sample - middle
+    sample /= np.maximum(np.linalg.norm(sample, axis=1), 1e-9)[:, None]
+    centres = grow_cells(sample, max(8, int(shard_items * share)) if share < 1 else shard_items, min(MOST_CELLS, stats.total // shard_items + 1))
+    for _ in range(6):
+        home = (sample @ centres.T).argmax(1)
+        centres = np.stack([sample[home == k].mean(0) if (home == k).any() else centres[k] for k in range(len(centres))])
+        centres /= np.maximum(np.linalg.norm(centres, axis=1), 1e-9)[:, None]
 
-    counted = items.select("terms").mapInArrow(run, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
-    frequency = np.zeros(VOCABULARY, np.int64)  # at most one row per token id of the vocabulary
-    frequency[counted.column("term").to_numpy()] = counted.column("df").to_numpy()
-    whole = items.where(F.size("terms") > 0).agg(F.count("*").alias("n"), F.avg("n").alias("mean")).first()
-    return frequency, whole["n"], whole["mean"] or 1.0
+    def run(batches):
+        for batch in (b.slice(lo, 2_000) for b in batches for lo in range(0, b.num_rows, 2_000)):
+            away = -((vectors(batch) - middle) @ centres.T)
+            k = min(PROBES, len(centres))
+            first = np.argpartition(away, k - 1, axis=1)[:, :k] if k < len(centres) else np.broadcast_to(np.arange(k), away.shape)
+            near = np.take_along_axis(first, np.argsort(np.take_along_axis(away, first, 1), axis=1, kind="stable"), 1)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("iid", "n", "tokens")), pa.array(list(near.astype(np.int32)), pa.list_(pa.int32()))], names=["iid", "n", "tokens", "near"])
 
+    return items.select("iid", "n", "tokens").mapInArrow(run, "iid long, n long, tokens binary, near array<int>")
 
+
+# ---------------------------------------------------------------- index
 class Shard:
-    """Inverted lists of one shard with BM25 weights of the whole corpus."""
-
-    def __init__(self, starts: np.ndarray, terms: np.ndarray, tf: np.ndarray, size: np.ndarray, frequency: np.ndarray, total: int, mean: float):
-        self.size = size
-        owner = np.repeat(np.arange(len(size)), np.diff(starts))
-        idf = np.log1p((total - frequency + 0.5) / (frequency + 0.5))
-        keep = self.keep = frequency <= max(COMMON_SHARE * total, 50)  # the rest has next to no weight
-        used = keep[terms]
-        weight = idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[owner] / mean))
-        order = np.argsort(terms[used], kind="stable")
-        self.by_term = owner[used][order].astype(np.int32)
-        self.weight = weight[used][order].astype(np.float32)
-        sorted_terms = terms[used][order]
-        self.first = np.searchsorted(sorted_terms, np.arange(VOCABULARY + 1))
-
-    def scores(self, words: np.ndarray) -> np.ndarray:
-        words = words[self.keep[words]]
-        lo, hi = self.first[words], self.first[words + 1]
-        length = hi - lo
-        if not length.sum():
-            return np.zeros(len(self.size), np.float32)
-        at = np.repeat(lo - np.concatenate(([0], np.cumsum(length)[:-1])), length) + np.arange(length.sum())
-        return np.bincount(self.by_term[at], self.weight[at], len(self.size))
-
-
-def _free(items: DataFrame, taken: DataFrame | None) -> DataFrame:
-    return items if taken is None else items.join(taken, KEY, "left_anti")
-
-
-def _neighbours(free: DataFrame, seeds: DataFrame, spark: SparkSession, shard_items: int, count: int, stats: tuple, capacity: int) -> pa.Table:
-    """The NEAREST best items of every seed over all shards: (seed, score, doc_id, copy, start, n), best first."""
-    frequency, total, mean = stats
-    shards = max(1, -(-count // shard_items))
-    rows = seeds.select("seed", *KEY, "n", "terms").toArrow()  # at most SEEDS rows
-    words = rows.column("terms").combine_chunks()
-    words = np.split(words.flatten().to_numpy(zero_copy_only=False), np.cumsum(pc.list_value_length(words).to_numpy())[:-1])
-    asked = spark.sparkContext.broadcast((list(zip(*(rows.column(c).to_pylist() for c in ("seed", *KEY, "n")), strict=True)), words))
-    keyed = free.withColumn("shard", F.pmod(F.xxhash64(*KEY), F.lit(shards)).cast("int"))
+    """Inverted lists of one shard: tokens of many items as a matrix, the others as lists."""
+
+    def __init__(self, counts: np.ndarray, terms: np.ndarray, weight: np.ndarray):
+        self.items = len(counts)
+        owner = np.repeat(np.arange(self.items), counts)
+        common = np.flatnonzero(np.bincount(terms, minlength=VOCABULARY) > DENSE_SHARE * self.items)
+        self.column = np.full(VOCABULARY, -1)
+        self.column[common] = np.arange(len(common))
+        dense = self.column[terms] >= 0
+        self.matrix = np.zeros((len(common), self.items), np.float32)
+        self.matrix[self.column[terms[dense]], owner[dense]] = weight[dense]
+        order = np.argsort(terms[~dense], kind="stable")
+        self.owner, self.weight = owner[~dense][order].astype(np.int32), weight[~dense][order]
+        self.first = np.searchsorted(terms[~dense][order], np.arange(VOCABULARY + 1))
+
+    def scores(self, counts: np.ndarray, terms: np.ndarray) -> np.ndarray:
+        """BM25 of every query (rows of ``terms``) with every item."""
+        asked = np.repeat(np.arange(len(counts)), counts)
+        column = self.column[terms]
+        dense = column >= 0
+        has = np.zeros((len(counts), len(self.matrix)), np.float32)
+        has[asked[dense], column[dense]] = 1
+        out = has @ self.matrix
+        words, who = terms[~dense], asked[~dense]
+        lo, length = self.first[words], self.first[words + 1] - self.first[words]
+        at = np.repeat(lo - np.concatenate(([0], np.cumsum(length)[:-1])), length) + np.arange(length.sum()) if len(words) else np.zeros(0, np.int64)
+        out += np.bincount(self.owner[at] + np.repeat(who * self.items, length), self.weight[at], out.size).reshape(out.shape)
+        return out
+
+
+def neighbour_lists(spark: SparkSession, seeds: DataFrame, free: DataFrame, stats: Statistics, shard_items: int = SHARD_ITEMS, nearest: int = NEAREST) -> DataFrame:
+    """(seed, list): the best ``nearest`` free items of every seed in the shards of its cells, best first.
+
+    ``seeds``: (iid, n, room, tokens, near); ``free``: (iid, n, tokens, near). A seed isn't its own
+    neighbour, nor is an item with more tokens than its room, or one that comes before it in the order of
+    size and id.
+    """
+    told = spark.sparkContext.broadcast(stats)
+    home = F.get("near", F.lit(0)).alias("cell")
+    asked = seeds.select("iid", "n", "room", "tokens", F.explode("near").alias("cell"))
+    many = {r["cell"]: -(-r["count"] // (2 * shard_items)) for r in free.select(home).groupBy("cell").count().where(F.col("count") > 2 * shard_items).collect()}  # at most MOST_CELLS rows
+    crowd = {r["cell"]: -(-r["count"] // SEEDS_A_TASK) for r in asked.groupBy("cell").count().where(F.col("count") > SEEDS_A_TASK).collect()}  # as above
+
+    def number(of: dict[int, int]):
+        return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in of.items() for x in pair]), F.col("cell")), F.lit(1)) if of else F.lit(1)
+
+    own = lambda of, salt: F.pmod(F.xxhash64("iid", F.lit(salt)), number(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), (number(of) - 1).cast("int")))
+    # the parts of a cell's items meet all parts of the seeds that ask it
+    right = free.select("iid", "n", F.lit(-1).cast("long").alias("room"), "tokens", home).withColumn("part", own(many, 3)).withColumn("crowd", every(crowd))
+    left = asked.withColumn("part", every(many)).withColumn("crowd", own(crowd, 5))
 
     def run(table):
         table = table.combine_chunks()
-        lists = table.column("terms").combine_chunks()
-        starts = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy())))
-        terms = lists.flatten().to_numpy(zero_copy_only=False)
-        tf = table.column("tf").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        size = table.column("n").to_numpy()
-        shard = Shard(starts, terms, tf, size, frequency, total, mean)
-        keys = list(zip(*(table.column(c).to_pylist() for c in KEY), strict=True))
-        rank = np.empty(len(keys), np.int64)
-        rank[sorted(range(len(keys)), key=keys.__getitem__)] = np.arange(len(keys))
-        at = {k: i for i, k in enumerate(keys)}
-        who, what, value = [], [], []
-        for (seed, doc, copy, start, n), words in zip(*asked.value, strict=True):
-            score = shard.scores(words)
-            score[size > capacity - n] = 0
-            if (own := at.get((doc, copy, start))) is not None:
-                score[own] = 0
-            near = np.flatnonzero(score > 0)
-            if len(near) > NEAREST:
-                # all that tie with the last stay, the merge decides by id
-                near = near[score[near] >= np.partition(score[near], -NEAREST)[-NEAREST]]
-            near = near[np.lexsort((rank[near], -score[near]))][:NEAREST]
-            who.append(np.full(len(near), seed))
-            what.append(near)
-            value.append(score[near])
-        flat = np.concatenate(what).astype(np.int64)
-        return pa.table({"seed": pa.array(np.concatenate(who), pa.int64()), "score": pa.array(np.concatenate(value), pa.float64()), **{c: table.column(c).take(pa.array(flat)) for c in (*KEY, "n")}})
-
-    found = keyed.repartition(spread(spark), "shard").groupBy("shard").applyInArrow(run, "seed long, score double, doc_id long, copy long, start long, n long")
-    best = Window.partitionBy("seed").orderBy(F.desc("score"), *KEY)
-    top = found.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= NEAREST)
-    return top.orderBy("seed", "_r").drop("_r").toArrow()  # at most SEEDS * NEAREST rows
-
-
-def _fill(seeds: list[tuple], near: pa.Table, free: DataFrame, spark: SparkSession, capacity: int) -> list[list[tuple]]:
-    """Containers as lists of (doc_id, copy, start, n): seeds in order, each with its best unused
-    neighbours that fit, then with the largest unused texts that fit.
-
-    Seeds and their neighbours are known here, all other free texts by the number of every size; which
-    of them close a gap is looked up at the end. A seed whose whole list was used up by others before
-    its container is filled stays free; it asks again in the next block.
+        iid, n, room = (table.column(c).to_numpy() for c in ("iid", "n", "room"))
+        items, who = np.flatnonzero(room < 0), np.flatnonzero(room >= 0)
+        items = items[np.lexsort((iid[items], -n[items]))]
+        empty = pa.table({"seed": pa.array([], pa.int64()), "list": pa.array([], LIST_TYPE)})
+        if not len(items) or not len(who):
+            return empty
+        stats = told.value
+        counts, terms, tf = _unpacked(table.column("tokens").take(pa.array(items)))
+        shard = Shard(counts, terms, stats.weights(terms, tf, np.repeat(n[items], counts)))
+        seeds, lists = [], []
+        for lo in range(0, len(who), 64):
+            part = who[lo : lo + 64]
+            counts, terms, _ = _unpacked(table.column("tokens").take(pa.array(part)))
+            score = shard.scores(counts, terms)
+            before = (n[items][None, :] > n[part][:, None]) | (n[items][None, :] == n[part][:, None]) & (iid[items][None, :] <= iid[part][:, None])
+            score[before | (n[items][None, :] > room[part][:, None])] = 0
+            k = min(nearest, len(items))
+            best = np.argpartition(-score, k - 1, axis=1)[:, :k] if k < len(items) else np.broadcast_to(np.arange(k), score.shape)
+            value = np.take_along_axis(score, best, 1)
+            order = np.lexsort((iid[items][best], -value), axis=1)
+            best, value = np.take_along_axis(best, order, 1), np.take_along_axis(value, order, 1)
+            for x, row, v in zip(iid[part], best, value, strict=True):
+                row, v = row[v > 0], v[v > 0]
+                if len(row):
+                    seeds.append(x)
+                    lists.append((-v, iid[items][row], n[items][row]))
+        if not seeds:
+            return empty
+        entry = pa.StructArray.from_arrays([pa.array(np.concatenate([x[k] for x in lists]).astype(t)) for k, t in enumerate((np.float32, np.int64, np.int32))], names=["d", "iid", "n"])
+        stop = np.concatenate(([0], np.cumsum([len(x[0]) for x in lists]))).astype(np.int32)
+        return pa.table({"seed": pa.array(seeds, pa.int64()), "list": pa.ListArray.from_arrays(pa.array(stop), entry)})
+
+    key = ["cell", "part", "crowd"]
+    columns = ["iid", "n", "room", "tokens", *key]
+    found = left.select(columns).unionByName(right.select(columns)).repartition(spread(spark), *key).groupBy(*key).applyInArrow(run, f"seed long, list {LIST}")
+    return found.groupBy("seed").agg(F.slice(F.array_sort(F.flatten(F.collect_list("list"))), 1, nearest).alias("list"))
+
+
+# ---------------------------------------------------------------- claims
+CLAIM = "item long, n int, seed long, d float, kept boolean, joins boolean"
+
+
+def _greedy(capacity: int):
+    """Claims of the containers of one region: in the order of size each takes its best unused neighbours that fit.
+
+    A container that has begun keeps what it holds; a seed that has not begun may be claimed by one before it.
+    """
+
+    def run(table):
+        rows = table.select(["seed", "n", "room", "begun", "list", "held"]).to_pylist()
+        rows.sort(key=lambda r: (-r["n"], r["seed"]))
+        used = {x for r in rows for x in r["held"]} | {r["seed"] for r in rows if r["begun"]}
+        seeds = {r["seed"] for r in rows if not r["begun"]}
+        out = []
+        for r in rows:
+            if not r["begun"] and r["seed"] in used:
+                continue
+            used.add(r["seed"])
+            out.append((r["seed"], r["n"], r["seed"], 0.0, True, False))
+            out += [(x, 0, r["seed"], 0.0, True, False) for x in r["held"]]
+            room = r["room"]
+            for e in r["list"] or []:
+                if room < CLOSE_AT * capacity:
+                    break
+                if e["n"] <= room and e["iid"] not in used:
+                    used.add(e["iid"])
+                    room -= e["n"]
+                    out.append((e["iid"], e["n"], r["seed"], e["d"], False, e["iid"] in seeds))
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.float32(), pa.bool_(), pa.bool_())
+        return pa.table({k: pa.array([x[i] for x in out], t) for i, (k, t) in enumerate(zip(("item", "n", "seed", "d", "kept", "joins"), kinds, strict=True))})
+
+    return run
+
+
+def _settle(spark: SparkSession, work: Workspace, opened: DataFrame, lists: DataFrame, capacity: int, label: str, region: int = REGION) -> DataFrame:
+    """(seed, n, room, held): the containers with what they won; seeds that joined another container are gone.
+
+    ``opened``: (seed, n, room, begun, held, cell). Containers are settled in regions of about
+    ``region`` of them, neighbouring cells together; an item that several regions claim goes to
+    the container it scores best with, and the losers go on in their lists in another
+    round. A seed can be claimed in its own region only.
     """
-    lists: dict[int, list[tuple]] = {}
-    for seed, *item in zip(*(near.column(c).to_pylist() for c in ("seed", *KEY, "n")), strict=True):
-        lists.setdefault(seed, []).append(tuple(item))
-    known = sorted({*seeds, *(item for some in lists.values() for item in some)}, reverse=True)
-    by_size: dict[int, list[tuple]] = {}
-    left, others = np.zeros(capacity + 1, np.int64), np.zeros(capacity + 1, np.int64)
-    for r in free.groupBy("n").count().collect():  # at most one row per size
-        left[r["n"]] = others[r["n"]] = r["count"]
-    for item in known:
-        by_size.setdefault(item[3], []).append(item)
-        others[item[3]] -= 1
-    used: set[tuple] = set()
-    boxes, wanted = [], {}
-    for number, seed in enumerate(seeds):
-        if seed in used:
-            continue
-        mine = lists.get(number, [])
-        box, room, lost = [seed], capacity - seed[3], False
-        for item in mine:
-            if room < CLOSE_AT * capacity:
-                break
-            if item in used:
-                lost = True
-            elif item[3] <= room:
-                box.append(item)
-                room -= item[3]
-        if lost and len(mine) == NEAREST and room >= CLOSE_AT * capacity and boxes:
-            continue
-        used.update(box)
-        for item in box:
-            left[item[3]] -= 1
-        while room and len(fits := np.flatnonzero(left[: room + 1])):
-            size = int(fits[-1])  # the largest text that fits
-            if others[size]:
-                others[size] -= 1
-                wanted.setdefault(size, []).append(len(boxes))
-            else:
-                while (item := by_size[size].pop()) in used:
-                    pass
-                used.add(item)
-                box.append(item)
-            left[size] -= 1
-            room -= size
-        boxes.append(box)
-    if wanted:
-        met = spark.createDataFrame([x[:3] for x in known], "doc_id long, copy long, start long")
-        need = spark.createDataFrame([(size, len(who)) for size, who in wanted.items()], "n long, need int")
-        few = free.select(*KEY, "n").join(F.broadcast(need), "n").join(met, KEY, "left_anti")
-        few = few.withColumn("_r", F.row_number().over(Window.partitionBy("n").orderBy(*KEY))).where(F.col("_r") <= F.col("need"))
-        for r in few.select(*KEY, "n").collect():
-            boxes[wanted[r["n"]].pop()].append(tuple(r))
-    return boxes
-
-
-def _round(items: DataFrame, spark: SparkSession, work: Workspace, turn: int, shard_items: int, capacity: int, stats: tuple) -> DataFrame:
-    """All items in containers: (container, doc_id, copy, start, n, fill), a block of seeds at a time."""
-    taken, block = None, 0
+    count = opened.count()
+    regions = -(-count // region)
+    where = F.pmod(F.floor(F.col("cell") * F.lit(regions) / F.lit(MOST_CELLS)) + F.pmod(F.xxhash64("seed"), F.lit(-(-count // (region * 8)))), F.lit(regions)).cast("int") if regions > 1 else F.lit(0)
+    state = opened.join(lists, "seed", "left").select("seed", "n", "room", "begun", "list", "held", where.alias("region"))
+    if regions > 1:
+        # seeds of other regions are no items for a container
+        seeds = opened.where("not begun").select(F.col("seed").alias("iid"), where.alias("of"))
+        strange = state.select("seed", "region", F.explode("list").alias("e")).select("seed", "region", F.col("e.iid").alias("iid")).join(seeds, "iid").where("of <> region").groupBy("seed").agg(F.collect_set("iid").alias("_x"))
+        state = state.join(strange, "seed", "left").withColumn("list", F.expr("filter(list, e -> _x is null or not array_contains(_x, e.iid))")).drop("_x")
+    turn = 0
     while True:
-        free = work.save(_free(items, taken), f"free-{turn}-{block}")
-        count = free.count()
-        if not count:
-            return spark.read.schema(PLACES).parquet(f"{work.root}/placed-{turn}-*") if block else spark.createDataFrame([], PLACES)
-        tokens = free.agg(F.sum("n")).first()[0]
-        # as many as the containers that the free texts need, the largest first
-        limit = min(SEEDS, -(-tokens // capacity))
-        first = free.orderBy(F.desc("n"), *KEY).limit(limit)
-        first = work.save(first.withColumn("seed", (F.row_number().over(Window.orderBy(F.desc("n"), *KEY)) - 1).cast("long")), f"seeds-{turn}-{block}")
-        seeds = [tuple(r) for r in first.orderBy("seed").select(*KEY, "n").collect()]
-        near = _neighbours(free, first, spark, shard_items, count, stats, capacity)
-        boxes = _fill(seeds, near, free, spark, capacity)
-        rows = [(f"{turn}-{block}-{b}", *x[:3], x[3], sum(y[3] for y in box)) for b, box in enumerate(boxes) for x in box]
-        placed = work.save(spark.createDataFrame(rows, PLACES), f"placed-{turn}-{block}")
-        items, taken = free, placed.select(*KEY)
-        if block:
-            work.drop(f"free-{turn}-{block - 1}")
-        block += 1
+        state = work.save(state, f"{label}-state-{turn}")
+        claims = work.save(state.groupBy("region").applyInArrow(_greedy(capacity), CLAIM), f"{label}-claims-{turn}")
+        lost = None
+        if regions > 1:
+            best = claims.groupBy("item").agg(F.min(F.struct(~F.col("kept"), "d", "seed")).alias("by")).select("item", F.col("by.seed").alias("winner"))
+            told = claims.join(best, "item")
+            lost = told.where("winner <> seed").groupBy("seed").agg(F.collect_set("item").alias("lost"))
+            claims = told.where("winner = seed").drop("winner")
+        gone = claims.where("joins").select(F.col("item").alias("seed"))
+        won = claims.where("not kept").groupBy("seed").agg(F.collect_list("item").alias("won"), F.sum("n").alias("tokens"))
+        after = state.join(gone, "seed", "left_anti").join(won, "seed", "left")
+        none = F.array().cast("array<long>")
+        after = after.select("seed", "n", (F.col("room") - F.coalesce("tokens", F.lit(0))).alias("room"), F.lit(True).alias("begun"), "list", F.concat("held", F.coalesce("won", none)).alias("held"), "region")
+        if lost is None:
+            return work.save(after.select("seed", "n", "room", "held"), f"{label}-settled")
+        after = after.join(lost, "seed", "left").withColumn("list", F.expr("filter(list, e -> lost is null or not array_contains(lost, e.iid))"))
+        after = work.save(after, f"{label}-after-{turn}")
+        some = after.agg(F.sum(F.coalesce(F.size("lost"), F.lit(0))).alias("lost"), F.sum(F.size("held")).alias("held")).first()
+        if (some["lost"] or 0) <= SETTLED * max(some["held"] or 0, 1):
+            return after.select("seed", "n", "room", "held")
+        state = after.drop("lost")
+        turn += 1
+
+
+# ---------------------------------------------------------------- gaps
+def plan_gaps(rooms: dict[int, int], sizes: dict[int, int], capacity: int, open_new: bool) -> list[tuple[int, int, int, list[tuple[int, int, int]]]]:
+    """Which items close which gaps, by counts alone: (room, first, stop, fills), fills (size, first item, items each).
+
+    Containers of equal room are numbered, as are items of equal size; container ``first + i`` gets
+    the ``each`` items from ``first item + i * each`` on. The largest item that fits is taken
+    first. Every step uses up a size or serves all containers of a group, so the plan
+    has at most as many groups as there are rooms and sizes. New containers have the room -1.
+    """
+    left = np.zeros(capacity + 1, np.int64)
+    for s, k in sizes.items():
+        left[s] += k
+    used = np.zeros(capacity + 1, np.int64)
+    waiting: dict[int, list] = {}
+    for room, k in rooms.items():
+        if room > 0 and k:
+            waiting.setdefault(room, []).append((room, 0, k, []))
+    done, fresh = [], 0
+    while True:
+        for room in range(capacity, 0, -1):
+            groups = waiting.pop(room, [])
+            while groups:
+                origin, lo, hi, fills = groups.pop()
+                fits = np.flatnonzero(left[: room + 1])
+                if not len(fits):
+                    done.append((origin, lo, hi, fills))
+                    continue
+                size = int(fits[-1])
+                each = min(room // size, int(left[size]) // (hi - lo))
+                if not each:
+                    some = int(left[size])
+                    groups.append((origin, lo + some, hi, [(s, first + some * k, k) for s, first, k in fills]))
+                    hi, each = lo + some, 1
+                now = (origin, lo, hi, [*fills, (size, int(used[size]), each)])
+                used[size] += each * (hi - lo)
+                left[size] -= each * (hi - lo)
+                if room - each * size:
+                    waiting.setdefault(room - each * size, []).append(now)
+                else:
+                    done.append(now)
+        rest = np.flatnonzero(left)
+        if not open_new or not len(rest):
+            return [x for x in done if x[3]]
+        size = int(rest[-1])
+        # as many as the tokens left need, opened with the largest texts
+        need = min(int(left[size]), int(-(-(left * np.arange(capacity + 1)).sum() // capacity)))
+        now = (-1, fresh, fresh + need, [(size, int(used[size]), 1)])
+        fresh += need
+        used[size] += need
+        left[size] -= need
+        if size < capacity:
+            waiting.setdefault(capacity - size, []).append(now)
+        else:
+            done.append(now)
+
+
+def _numbered(rows: DataFrame, spark: SparkSession, by: str, out: str) -> tuple[DataFrame, dict[int, int]]:
+    """``rows`` (id, ``by``) numbered from 0 within every value, and how many there are of each; values are at most the capacity."""
+    salted = rows.withColumn("_s", F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int"))
+    found = sorted((r[by], r["_s"], r["count"]) for r in salted.groupBy(by, "_s").count().collect())  # at most SALT rows per value
+    total: dict[int, int] = {}
+    base = []
+    for value, salt, k in found:
+        base.append((int(value), salt, total.get(value, 0)))
+        total[value] = total.get(value, 0) + k
+    start = F.broadcast(spark.createDataFrame(base, f"{by} long, _s int, _b long"))
+    numbered = salted.withColumn(by, F.col(by).cast("long")).join(start, [by, "_s"]).withColumn(out, F.row_number().over(Window.partitionBy(by, "_s").orderBy("id")) - 1 + F.col("_b"))
+    return numbered.drop("_s", "_b"), total
+
+
+def _close(spark: SparkSession, work: Workspace, boxes: DataFrame | None, free: DataFrame, capacity: int, open_new: bool, label: str) -> DataFrame:
+    """(iid, container): the free items (iid, n) that close the gaps of ``boxes`` (id, room) by size, or open containers of their own."""
+    items, sizes = _numbered(free.select(F.col("iid").alias("id"), F.col("n").alias("size")), spark, "size", "number")
+    held, rooms = _numbered(boxes.select("id", "room"), spark, "room", "number") if boxes is not None else (None, {})
+    plan = plan_gaps(rooms, sizes, capacity, open_new)
+    by_room: dict[int, list] = {}
+    for origin, lo, hi, fills in plan:
+        by_room.setdefault(origin, []).append((lo, hi, fills))
+    for rows in by_room.values():
+        rows.sort(key=lambda x: x[0])
+
+    def served(batches):
+        starts = {room: np.array([x[0] for x in rows]) for room, rows in by_room.items()}
+        for batch in batches:
+            out = []
+            for box, room, number in zip(*(batch.column(c).to_pylist() for c in ("id", "room", "number")), strict=True):
+                at = int(np.searchsorted(starts[room], number, "right")) - 1 if room in starts else -1
+                if at >= 0 and number < by_room[room][at][1]:
+                    lo, _, fills = by_room[room][at]
+                    out += [(box, size, first + (number - lo) * each + k) for size, first, each in fills for k in range(each)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.string()), *(pa.array([r[k] for r in out], pa.int64()) for k in (1, 2))], names=["container", "size", "number"])
+
+    todo = []
+    if held is not None:
+        todo.append(held.select(F.col("id").cast("string").alias("id"), "room", "number"))
+    if -1 in by_room:
+        fresh = max(x[1] for x in by_room[-1])
+        todo.append(spark.range(fresh).select(F.concat(F.lit(f"{label}-new-"), "id").alias("id"), F.lit(-1).cast("long").alias("room"), F.col("id").alias("number")))
+    if not todo:
+        return spark.createDataFrame([], "iid long, container string")
+    rows = todo[0] if len(todo) == 1 else todo[0].unionByName(todo[1])
+    got = rows.mapInArrow(served, "container string, size long, number long")
+    return work.save(got.join(items, ["size", "number"]).select(F.col("id").alias("iid"), "container"), f"{label}-closed")
+
+
+# ---------------------------------------------------------------- operator
+def _largest(free: DataFrame, need: int) -> DataFrame:
+    """The ``need`` largest items."""
+    bound = 0
+    for r in sorted(free.groupBy("n").count().collect(), key=lambda r: -r["n"]):  # at most one row per size
+        bound = r["n"]
+        if r["count"] >= need:
+            break
+        need -= r["count"]
+    last = free.where(F.col("n") == bound).orderBy("iid").limit(need)
+    return free.where(F.col("n") > bound).unionByName(last)
+
+
+def _retrieved(spark: SparkSession, work: Workspace, items: DataFrame, stats: Statistics, capacity: int, shard_items: int) -> tuple[DataFrame, DataFrame]:
+    """Containers (id, room) filled with neighbours, and the placed items (iid, container), of items (iid, n, tokens, near)."""
+    boxes = spark.createDataFrame([], "seed long, n long, room long, held array<long>")
+    free, whole = items, items.agg(F.sum("n")).first()[0] or 0
+    for ask in range(ASKS):
+        left = free.agg(F.sum("n").alias("tokens"), F.min("n").alias("least")).first()
+        if (left["tokens"] or 0) <= REST * whole:
+            break
+        usable = boxes.where(F.col("room") >= left["least"]).agg(F.sum("room")).first()[0] or 0
+        need = max(0, -(-(left["tokens"] - usable) // capacity))
+        cell = F.get("near", F.lit(0)).alias("cell")
+        again = boxes.where(F.col("room") >= CLOSE_AT * capacity).join(items.select(F.col("iid").alias("seed"), "tokens", "near"), "seed").select("seed", "n", "room", F.lit(True).alias("begun"), "held", "tokens", "near", cell)
+        fresh = _largest(free, need) if need else free.limit(0)
+        fresh = fresh.select(F.col("iid").alias("seed"), "n", (F.lit(capacity) - F.col("n")).alias("room"), F.lit(False).alias("begun"), F.array().cast("array<long>").alias("held"), "tokens", "near", cell)
+        opened = work.save(fresh.unionByName(again), f"open-{ask}")
+        lists = work.save(neighbour_lists(spark, opened.withColumnRenamed("seed", "iid"), free, stats, shard_items), f"lists-{ask}")
+        now = _settle(spark, work, opened.drop("tokens", "near"), lists, capacity, f"ask-{ask}")
+        boxes = work.save(boxes.join(opened.select("seed"), "seed", "left_anti").unionByName(now), f"boxes-{ask}")
+        taken = boxes.select(F.explode(F.concat(F.array("seed"), "held")).alias("iid"))
+        free = work.save(items.join(taken, "iid", "left_anti"), f"free-{ask}")
+        work.drop(f"lists-{ask}", f"free-{ask - 1}", f"boxes-{ask - 1}")
+    named = boxes.withColumn("container", F.concat(F.lit("b-"), F.col("seed")))
+    return named.where("room > 0").select(F.col("container").alias("id"), "room"), named.select("container", F.explode(F.concat(F.array("seed"), "held")).alias("iid")).select("iid", "container")
 
 
 def pack_texts(spark: SparkSession, documents: DataFrame, capacity: int = CAPACITY, shard_items: int = SHARD_ITEMS, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -255,16 +504,24 @@ def pack_texts(spark: SparkSession, documents: DataFrame, capacity: int = CAPACI
         base = base.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")).cast("long"))
     else:
         base = base.withColumn("copy", F.lit(1).cast("long"))
-    items = work.save(items_of(base, capacity, tokenizer), "items")
-    stats = term_statistics(items)
-    full = items.where(F.col("n") == capacity).select(F.concat_ws("-", F.lit("full"), "doc_id", "copy", "start").alias("container"), "doc_id", "copy", "start", "n", F.col("n").alias("fill"))
-    done = [full]
-    rest = items.where(F.col("n") < capacity)
-    for turn in range(1, ROUNDS + 1):
-        placed = _round(rest, spark, work, turn, shard_items, capacity, stats)
-        done.append(placed if turn == ROUNDS else placed.where(F.col("fill") >= REOPEN_BELOW * capacity))
-        rest = rest.join(placed.where(F.col("fill") < REOPEN_BELOW * capacity), KEY, "left_semi")
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return out.select("container", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "copy", F.col("start").alias("start_token"), F.col("n").alias("n_tokens"), "fill")
+    items = work.save(items_of(base, capacity, tokenizer).withColumn("iid", F.monotonically_increasing_id()), "items")
+    full = items.where(F.col("n") == capacity).select("iid", F.concat_ws("-", F.lit("full"), "iid").alias("container"))
+    parts = items.where(F.col("n") < capacity)
+    stats = Statistics(parts)
+    out = full
+    if stats.total:
+        rest = work.save(_placed(parts, stats, shard_items), "near")
+        boxes, placed = _retrieved(spark, work, rest, stats, capacity, shard_items)
+        placed = work.save(placed, "placed")
+        closed = _close(spark, work, boxes, rest.select("iid", "n").join(placed, "iid", "left_anti"), capacity, True, "gaps")
+        placed = work.save(placed.unionByName(closed).join(rest.select("iid", "n"), "iid"), "all")
+        # containers left too empty are opened and packed once more by size, if that takes fewer
+        short = placed.groupBy("container").agg(F.sum("n").alias("fill")).where(F.col("fill") < REOPEN_BELOW * capacity).select("container")
+        short = work.save(short, "short")
+        again = _close(spark, work, None, placed.join(short, "container", "left_semi").select("iid", "n"), capacity, True, "again")
+        if again.select("container").distinct().count() < short.count():
+            placed = placed.join(short, "container", "left_anti").select("iid", "container").unionByName(again)
+        out = out.unionByName(placed.select("iid", "container"))
+    out = out.join(items.select("iid", *KEY, "n"), "iid")
+    fill = out.groupBy("container").agg(F.sum("n").alias("fill"))
+    return out.join(fill, "container").select("container", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "copy", F.col("start").alias("start_token"), F.col("n").alias("n_tokens"), "fill")

@@ -5,6 +5,9 @@ import random
 
 from pyspark.sql import functions as F
 
+import numpy as np
+import zstandard
+
 from docketloom.llm import mixing, packing, quality
 from docketloom.llm.tokens import encode, with_token_count
 
@@ -120,3 +123,61 @@ def test_quality(spark):
     plain = quality.quality(spark, docs, words)
     assert plain.where(F.col("verdict") == "junk").count() > 50
     assert quality.quality(spark, docs.where("false"), words).count() == 0
+
+
+def test_neighbour_recall(spark, data):
+    """Lists of the cells asked against BM25 of every seed with every item, at least 0.9 of the ten best."""
+    docs = spark.read.parquet(f"{data}/../sf0.01/documents.parquet").select("doc_id", F.lit(1).cast("long").alias("copy"), "text").where("text <> ''")
+    items = packing.items_of(docs).where("n < 2048").withColumn("iid", F.col("doc_id") * 1_000_000 + F.col("start")).cache()
+    stats = packing.Statistics(items)
+    near = packing._placed(items, stats, 40).cache()
+    seeds = packing._largest(near, 150).select("iid", "n", (F.lit(2048) - F.col("n")).alias("room"), "tokens", "near")
+    got = {r["seed"]: [e["iid"] for e in r["list"]][:10] for r in packing.neighbour_lists(spark, seeds, near, stats, 40).collect()}
+    rows = near.toArrow()
+    counts, terms, tf = packing._unpacked(rows.column("tokens").combine_chunks())
+    n, iid = rows.column("n").to_numpy(), rows.column("iid").to_numpy()
+    shard = packing.Shard(counts, terms, stats.weights(terms, tf, np.repeat(n, counts)))
+    found = total = 0
+    for s in seeds.select("iid", "n", "room", "tokens").collect():
+        words, _ = packing._unpack(bytes(s["tokens"]), zstandard.ZstdDecompressor())
+        score = shard.scores(np.array([len(words)]), words)[0]
+        score[(n > s["room"]) | (n > s["n"]) | (n == s["n"]) & (iid <= s["iid"])] = 0
+        best = iid[np.lexsort((iid, -score))][:10]
+        found += len(set(best.tolist()) & set(got.get(s["iid"], [])))
+        total += 10
+    assert near.select(F.get("near", F.lit(0))).distinct().count() > 20 and found / total >= 0.9, found / total
+
+
+def test_plan_of_gaps():
+    rng = random.Random(3)
+    for new in (False, True):
+        rooms = {rng.randint(1, 60): rng.randint(1, 30) for _ in range(12)}
+        sizes = {rng.randint(1, 60): rng.randint(1, 30) for _ in range(14)}
+        plan = packing.plan_gaps(rooms, sizes, 64, new)
+        used, boxes = {}, {}
+        for room, lo, hi, fills in plan:
+            for i in range(lo, hi):
+                assert (room, i) not in boxes
+                boxes[room, i] = sum(size * each for size, _, each in fills)
+                assert boxes[room, i] <= (room if room > 0 else 64) and (room < 0 or i < rooms[room])
+                for size, first, each in fills:
+                    for k in range(each):
+                        item = (size, first + (i - lo) * each + k)
+                        assert item not in used and item[1] < sizes[size]
+                        used[item] = 1
+        if new:
+            assert len(used) == sum(sizes.values())
+
+
+def test_regions_settle_alike(spark, monkeypatch):
+    df, rows = corpus(spark, 200)
+    monkeypatch.setattr(packing, "_settle", lambda *a: SETTLE(*a, region=9))
+    got = packing.pack_texts(spark, df, shard_items=30).collect()
+    assert sum(r["n_tokens"] for r in got) == sum(len(encode(t)) for _, t, _, _ in rows if t)
+    boxes = {}
+    for r in got:
+        boxes[r["container"]] = boxes.get(r["container"], 0) + r["n_tokens"]
+    assert max(boxes.values()) <= 2048 and len({(r["doc_id"], r["copy"], r["start_token"]) for r in got}) == len(got)
+
+
+SETTLE = packing._settle
