@@ -38,7 +38,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 def _close_all() -> None:
     """At the end of the application delete the tables that its results read from."""
-    for work in _open:
+    for work in list(_open):
         try:
             work.close()
         except Exception:  # noqa: BLE001 - the JVM may be gone, then there is nothing left to do
@@ -61,12 +61,10 @@ class Workspace:
         path = f"{self.root}/{name}"
         schema = df.schema
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-        del df
-        self.release()
         return self.spark.read.schema(schema).parquet(path)
 
     def release(self) -> None:
-        """Let Spark's cleaner drop shuffle files of finished stages."""
+        """Let Spark's cleaner drop the shuffle files behind tables that are gone."""
         gc.collect()
         self.spark._jvm.System.gc()
 
@@ -76,10 +74,13 @@ class Workspace:
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.release()
 
     def close(self) -> None:
         """Delete the whole workspace, once the operator's result has been written."""
         self.drop("")
+        if self in _open:
+            _open.remove(self)
 
 
 def spread(spark: SparkSession, least: int = 1) -> int:
