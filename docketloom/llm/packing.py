@@ -49,7 +49,7 @@ K1, B = 1.2, 0.75
 DENSE_SHARE = 0.03
 CLOSE_AT = 0.1
 REOPEN_BELOW = 0.97
-ASKS = 4
+ASKS = 3
 REGION = 65_536
 NEAREST = 32
 SEEDS_A_TASK = 4_096
@@ -237,34 +237,34 @@ def neighbour_lists(spark: SparkSession, seeds: DataFrame, free: DataFrame, stat
         iid, n, room = (table.column(c).to_numpy() for c in ("iid", "n", "room"))
         items, who = np.flatnonzero(room < 0), np.flatnonzero(room >= 0)
         items = items[np.lexsort((iid[items], -n[items]))]
-        empty = pa.table({"seed": pa.array([], pa.int64()), "list": pa.array([], LIST_TYPE)})
         if not len(items) or not len(who):
-            return empty
+            return pa.table({"seed": pa.array([], pa.int64()), "list": pa.array([], LIST_TYPE)})
         stats = told.value
         counts, terms, tf = _unpacked(table.column("tokens").take(pa.array(items)))
         shard = Shard(counts, terms, stats.weights(terms, tf, np.repeat(n[items], counts)))
-        seeds, lists = [], []
+        size, name = n[items], iid[items]
+        # items stand in the order of size and id, so those too large and those before the seed are the first ones
+        begin = np.searchsorted(-size, -np.minimum(room[who], n[who]), "left")
+        upto = np.searchsorted(-size, -n[who], "right")
+        for i in np.flatnonzero((room[who] >= n[who]) & (upto > begin)):
+            begin[i] += np.searchsorted(name[begin[i] : upto[i]], iid[who[i]], "right")
+        k = min(nearest, len(items))
+        lengths, parts = np.zeros(len(who), np.int64), []
         for lo in range(0, len(who), 64):
-            part = who[lo : lo + 64]
-            counts, terms, _ = _unpacked(table.column("tokens").take(pa.array(part)))
+            counts, terms, _ = _unpacked(table.column("tokens").take(pa.array(who[lo : lo + 64])))
             score = shard.scores(counts, terms)
-            before = (n[items][None, :] > n[part][:, None]) | (n[items][None, :] == n[part][:, None]) & (iid[items][None, :] <= iid[part][:, None])
-            score[before | (n[items][None, :] > room[part][:, None])] = 0
-            k = min(nearest, len(items))
+            for row, first in zip(score, begin[lo : lo + 64], strict=True):
+                row[:first] = 0
             best = np.argpartition(-score, k - 1, axis=1)[:, :k] if k < len(items) else np.broadcast_to(np.arange(k), score.shape)
             value = np.take_along_axis(score, best, 1)
-            order = np.lexsort((iid[items][best], -value), axis=1)
+            order = np.lexsort((name[best], -value), axis=1)
             best, value = np.take_along_axis(best, order, 1), np.take_along_axis(value, order, 1)
-            for x, row, v in zip(iid[part], best, value, strict=True):
-                row, v = row[v > 0], v[v > 0]
-                if len(row):
-                    seeds.append(x)
-                    lists.append((-v, iid[items][row], n[items][row]))
-        if not seeds:
-            return empty
-        entry = pa.StructArray.from_arrays([pa.array(np.concatenate([x[k] for x in lists]).astype(t)) for k, t in enumerate((np.float32, np.int64, np.int32))], names=["d", "iid", "n"])
-        stop = np.concatenate(([0], np.cumsum([len(x[0]) for x in lists]))).astype(np.int32)
-        return pa.table({"seed": pa.array(seeds, pa.int64()), "list": pa.ListArray.from_arrays(pa.array(stop), entry)})
+            good = value > 0
+            lengths[lo : lo + 64] = good.sum(1)
+            parts.append((best[good], value[good]))
+        flat, value = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        entry = pa.StructArray.from_arrays([pa.array(-value.astype(np.float32)), pa.array(name[flat]), pa.array(size[flat].astype(np.int32))], names=["d", "iid", "n"])
+        return pa.table({"seed": pa.array(iid[who]), "list": pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)), entry)})
 
     key = ["cell", "part", "crowd"]
     columns = ["iid", "n", "room", "tokens", *key]
@@ -489,7 +489,7 @@ def _retrieved(spark: SparkSession, work: Workspace, items: DataFrame, stats: St
         boxes = work.save(boxes.join(opened.select("seed"), "seed", "left_anti").unionByName(now), f"boxes-{ask}")
         taken = boxes.select(F.explode(F.concat(F.array("seed"), "held")).alias("iid"))
         free = work.save(items.join(taken, "iid", "left_anti"), f"free-{ask}")
-        work.drop(f"lists-{ask}", f"free-{ask - 1}", f"boxes-{ask - 1}")
+        work.drop(f"lists-{ask}", f"free-{ask - 1}", f"boxes-{ask - 1}", f"open-{ask}", f"ask-{ask}-state-0", f"ask-{ask}-claims-0")
     named = boxes.withColumn("container", F.concat(F.lit("b-"), F.col("seed")))
     return named.where("room > 0").select(F.col("container").alias("id"), "room"), named.select("container", F.explode(F.concat(F.array("seed"), "held")).alias("iid")).select("iid", "container")
 
