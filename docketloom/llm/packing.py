@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -49,7 +50,7 @@ K1, B = 1.2, 0.75
 DENSE_SHARE = 0.03
 CLOSE_AT = 0.1
 REOPEN_BELOW = 0.97
-ASKS = 3
+ASKS = 2
 REGION = 65_536
 NEAREST = 32
 SEEDS_A_TASK = 4_096
@@ -59,50 +60,44 @@ SALT = 16
 NO_ID = -(2**63)  # stands for a null doc_id
 
 KEY = ["doc_id", "copy", "start"]
-ITEMS = "doc_id long, copy long, start long, n long, tokens binary"
+# sorted token ids are kept as steps, in as few bytes as the vocabulary allows
+STEP, STEP_TYPE, UNSIGNED = ("smallint", pa.int16(), np.uint16) if VOCABULARY <= 1 << 16 else ("int", pa.int32(), np.uint32)
+ITEMS = f"doc_id long, copy long, start long, n long, steps array<{STEP}>, tf array<smallint>"
 LIST = "array<struct<d:float,iid:long,n:int>>"
 LIST_TYPE = pa.list_(pa.struct([("d", pa.float32()), ("iid", pa.int64()), ("n", pa.int32())]))
 
 
 # ---------------------------------------------------------------- items
-def _pack(terms: np.ndarray, tf: np.ndarray) -> bytes:
-    """Sorted token ids as steps, with their counts, compressed."""
-    import zstandard
-
-    wide = len(terms) and int(terms[-1]) >= 1 << 16
-    steps = np.diff(terms, prepend=0).astype(np.uint32 if wide else np.uint16)
-    return bytes([bool(wide)]) + zstandard.ZstdCompressor(level=1).compress(steps.tobytes() + tf.astype(np.uint16).tobytes())
-
-
-def _unpack(blob: bytes, plain) -> tuple[np.ndarray, np.ndarray]:
-    raw, width = plain.decompress(blob[1:]), 4 if blob[0] else 2
-    n = len(raw) // (width + 2)
-    return np.cumsum(np.frombuffer(raw, np.uint32 if width == 4 else np.uint16, n), dtype=np.int64), np.frombuffer(raw, np.uint16, n, n * width)
-
-
-def _unpacked(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(number of terms of every row, terms, counts) of a column of packed tokens."""
-    import zstandard
-
-    plain = zstandard.ZstdDecompressor()
-    parts = [_unpack(x.as_py(), plain) for x in column]
-    if not parts:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16)
-    return np.array([len(p[0]) for p in parts]), np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+def _unpacked(rows) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """(number of terms of every row, terms, counts of the terms) of a batch or table with packed tokens."""
+    flat = lambda c: c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
+    steps, tf = flat(rows.column("steps")), flat(rows.column("tf"))
+    counts = pc.list_value_length(steps).to_numpy(zero_copy_only=False).astype(np.int64)
+    values = steps.flatten().to_numpy(zero_copy_only=False).view(UNSIGNED).astype(np.int64)
+    run = np.cumsum(values)
+    first = np.cumsum(counts) - counts
+    before = np.where(first > 0, run[np.maximum(first - 1, 0)], 0) if len(run) else np.zeros(len(counts), np.int64)
+    return counts, run - np.repeat(before, counts), tf.flatten().to_numpy(zero_copy_only=False).astype(np.float32)
 
 
 def items_of(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER) -> DataFrame:
-    """Pieces to place: (doc_id, copy, start, n, tokens); full pieces carry no tokens."""
+    """Pieces to place: (doc_id, copy, start, n, steps, tf); full pieces carry no tokens."""
 
     def run(batches):
         for batch in batches:
-            rows = []
+            rows, steps, counts = [], [], []
             for doc, copy, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "copy", "text")), strict=True):
                 ids = np.array(encode(text, tokenizer), np.int64)
                 for lo in range(0, len(ids), capacity):
                     part = ids[lo : lo + capacity]
-                    rows.append((doc, copy, lo, len(part), _pack(*np.unique(part, return_counts=True)) if len(part) < capacity else None))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64() if k < 4 else pa.binary()) for k in range(5)], names=[*KEY, "n", "tokens"])
+                    terms, tf = np.unique(part, return_counts=True) if len(part) < capacity else (part[:0], part[:0])
+                    rows.append((doc, copy, lo, len(part)))
+                    steps.append(np.diff(terms, prepend=0))
+                    counts.append(tf)
+            stop = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in steps]))).astype(np.int32))
+            flat = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
+            lists = [pa.ListArray.from_arrays(stop, pa.array(flat(steps, UNSIGNED).view(STEP_TYPE.to_pandas_dtype()))), pa.ListArray.from_arrays(stop, pa.array(flat(counts, np.int16)))]
+            yield pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in rows], pa.int64()) for k in range(4)), *lists], names=[*KEY, "n", "steps", "tf"])
 
     return documents.mapInArrow(run, ITEMS)
 
@@ -114,11 +109,11 @@ class Statistics:
         def run(batches):
             count = np.zeros(VOCABULARY, np.int64)
             for batch in batches:
-                count += np.bincount(_unpacked(batch.column("tokens"))[1], minlength=VOCABULARY)
+                count += np.bincount(_unpacked(batch)[1], minlength=VOCABULARY)
             some = np.flatnonzero(count)
             yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(count[some])], names=["term", "df"])
 
-        counted = items.select("tokens").mapInArrow(run, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+        counted = items.select("steps", "tf").mapInArrow(run, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
         self.frequency = np.zeros(VOCABULARY, np.int64)  # at most one row per token id of the vocabulary
         self.frequency[counted.column("term").to_numpy()] = counted.column("df").to_numpy()
         whole = items.agg(F.count("*").alias("n"), F.avg("n").alias("mean")).first()
@@ -148,7 +143,7 @@ def _placed(items: DataFrame, stats: Statistics, shard_items: int) -> DataFrame:
     told = items.sparkSession.sparkContext.broadcast(stats)
 
     def vectors(batch) -> np.ndarray:
-        counts, terms, tf = _unpacked(batch.column("tokens"))
+        counts, terms, tf = _unpacked(batch)
         return _projected(counts, terms, told.value.weights(terms, tf, np.repeat(batch.column("n").to_numpy(), counts)))
 
     def sampled(batches):
@@ -156,7 +151,7 @@ def _placed(items: DataFrame, stats: Statistics, shard_items: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([v.astype(np.float16).tobytes() for v in vectors(batch)], pa.binary())], names=["v"])
 
     share = min(1.0, SAMPLE / max(stats.total, 1))
-    some = items.where(F.pmod(F.xxhash64(*KEY), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("n", "tokens").limit(SAMPLE).mapInArrow(sampled, "v binary").toArrow().column("v").to_pylist()
+    some = items.where(F.pmod(F.xxhash64(*KEY), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("n", "steps", "tf").limit(SAMPLE).mapInArrow(sampled, "v binary").toArrow().column("v").to_pylist()
     sample = np.frombuffer(b"".join(some), np.float16).reshape(-1, WIDTH).astype(np.float32)
     middle = sample.mean(0)
     sample = sample - middle
@@ -173,9 +168,9 @@ def _placed(items: DataFrame, stats: Statistics, shard_items: int) -> DataFrame:
             k = min(PROBES, len(centres))
             first = np.argpartition(away, k - 1, axis=1)[:, :k] if k < len(centres) else np.broadcast_to(np.arange(k), away.shape)
             near = np.take_along_axis(first, np.argsort(np.take_along_axis(away, first, 1), axis=1, kind="stable"), 1)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("iid", "n", "tokens")), pa.array(list(near.astype(np.int32)), pa.list_(pa.int32()))], names=["iid", "n", "tokens", "near"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("iid", "n", "steps", "tf")), pa.array(list(near.astype(np.int32)), pa.list_(pa.int32()))], names=["iid", "n", "steps", "tf", "near"])
 
-    return items.select("iid", "n", "tokens").mapInArrow(run, "iid long, n long, tokens binary, near array<int>")
+    return items.select("iid", "n", "steps", "tf").mapInArrow(run, f"iid long, n long, steps array<{STEP}>, tf array<smallint>, near array<int>")
 
 
 # ---------------------------------------------------------------- index
@@ -213,13 +208,13 @@ class Shard:
 def neighbour_lists(spark: SparkSession, seeds: DataFrame, free: DataFrame, stats: Statistics, shard_items: int = SHARD_ITEMS, nearest: int = NEAREST) -> DataFrame:
     """(seed, list): the best ``nearest`` free items of every seed in the shards of its cells, best first.
 
-    ``seeds``: (iid, n, room, tokens, near); ``free``: (iid, n, tokens, near). A seed isn't its own
+    ``seeds``: (iid, n, room, steps, near); ``free``: (iid, n, steps, tf, near). A seed isn't its own
     neighbour, nor is an item with more tokens than its room, or one that comes before it in the order of
     size and id.
     """
     told = spark.sparkContext.broadcast(stats)
     home = F.get("near", F.lit(0)).alias("cell")
-    asked = seeds.select("iid", "n", "room", "tokens", F.explode("near").alias("cell"))
+    asked = seeds.select("iid", "n", "room", "steps", F.array().cast("array<smallint>").alias("tf"), F.explode("near").alias("cell"))
     many = {r["cell"]: -(-r["count"] // (2 * shard_items)) for r in free.select(home).groupBy("cell").count().where(F.col("count") > 2 * shard_items).collect()}  # at most MOST_CELLS rows
     crowd = {r["cell"]: -(-r["count"] // SEEDS_A_TASK) for r in asked.groupBy("cell").count().where(F.col("count") > SEEDS_A_TASK).collect()}  # as above
 
@@ -229,7 +224,7 @@ def neighbour_lists(spark: SparkSession, seeds: DataFrame, free: DataFrame, stat
     own = lambda of, salt: F.pmod(F.xxhash64("iid", F.lit(salt)), number(of)).cast("int")
     every = lambda of: F.explode(F.sequence(F.lit(0), (number(of) - 1).cast("int")))
     # the parts of a cell's items meet all parts of the seeds that ask it
-    right = free.select("iid", "n", F.lit(-1).cast("long").alias("room"), "tokens", home).withColumn("part", own(many, 3)).withColumn("crowd", every(crowd))
+    right = free.select("iid", "n", F.lit(-1).cast("long").alias("room"), "steps", "tf", home).withColumn("part", own(many, 3)).withColumn("crowd", every(crowd))
     left = asked.withColumn("part", every(many)).withColumn("crowd", own(crowd, 5))
 
     def run(table):
@@ -240,7 +235,7 @@ def neighbour_lists(spark: SparkSession, seeds: DataFrame, free: DataFrame, stat
         if not len(items) or not len(who):
             return pa.table({"seed": pa.array([], pa.int64()), "list": pa.array([], LIST_TYPE)})
         stats = told.value
-        counts, terms, tf = _unpacked(table.column("tokens").take(pa.array(items)))
+        counts, terms, tf = _unpacked(table.take(pa.array(items)))
         shard = Shard(counts, terms, stats.weights(terms, tf, np.repeat(n[items], counts)))
         size, name = n[items], iid[items]
         # items stand in the order of size and id, so those too large and those before the seed are the first ones
@@ -250,9 +245,11 @@ def neighbour_lists(spark: SparkSession, seeds: DataFrame, free: DataFrame, stat
             begin[i] += np.searchsorted(name[begin[i] : upto[i]], iid[who[i]], "right")
         k = min(nearest, len(items))
         lengths, parts = np.zeros(len(who), np.int64), []
+        counts, terms, _ = _unpacked(table.take(pa.array(who)))
+        stop = np.concatenate(([0], np.cumsum(counts)))
         for lo in range(0, len(who), 64):
-            counts, terms, _ = _unpacked(table.column("tokens").take(pa.array(who[lo : lo + 64])))
-            score = shard.scores(counts, terms)
+            hi = min(len(who), lo + 64)
+            score = shard.scores(counts[lo:hi], terms[stop[lo] : stop[hi]])
             for row, first in zip(score, begin[lo : lo + 64], strict=True):
                 row[:first] = 0
             best = np.argpartition(-score, k - 1, axis=1)[:, :k] if k < len(items) else np.broadcast_to(np.arange(k), score.shape)
@@ -267,7 +264,7 @@ def neighbour_lists(spark: SparkSession, seeds: DataFrame, free: DataFrame, stat
         return pa.table({"seed": pa.array(iid[who]), "list": pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)), entry)})
 
     key = ["cell", "part", "crowd"]
-    columns = ["iid", "n", "room", "tokens", *key]
+    columns = ["iid", "n", "room", "steps", "tf", *key]
     found = left.select(columns).unionByName(right.select(columns)).repartition(spread(spark), *key).groupBy(*key).applyInArrow(run, f"seed long, list {LIST}")
     return found.groupBy("seed").agg(F.slice(F.array_sort(F.flatten(F.collect_list("list"))), 1, nearest).alias("list"))
 
@@ -283,25 +280,29 @@ def _greedy(capacity: int):
     """
 
     def run(table):
-        rows = table.select(["seed", "n", "room", "begun", "list", "held"]).to_pylist()
-        rows.sort(key=lambda r: (-r["n"], r["seed"]))
-        used = {x for r in rows for x in r["held"]} | {r["seed"] for r in rows if r["begun"]}
-        seeds = {r["seed"] for r in rows if not r["begun"]}
+        table = table.combine_chunks()
+        seed, n, room, begun = (table.column(c).to_numpy() for c in ("seed", "n", "room", "begun"))
+        lists, held = table.column("list").combine_chunks(), table.column("held").to_pylist()
+        entries = lists.flatten()
+        name, size, d = (entries.field(c).to_numpy(zero_copy_only=False).tolist() for c in ("iid", "n", "d"))
+        stop = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)))).tolist()
+        used = {x for some in held for x in some} | set(seed[begun].tolist())
+        seeds = set(seed[~begun].tolist())
         out = []
-        for r in rows:
-            if not r["begun"] and r["seed"] in used:
+        for i in np.lexsort((seed, -n)).tolist():
+            me, left = int(seed[i]), int(room[i])
+            if not begun[i] and me in used:
                 continue
-            used.add(r["seed"])
-            out.append((r["seed"], r["n"], r["seed"], 0.0, True, False))
-            out += [(x, 0, r["seed"], 0.0, True, False) for x in r["held"]]
-            room = r["room"]
-            for e in r["list"] or []:
-                if room < CLOSE_AT * capacity:
+            used.add(me)
+            out.append((me, int(n[i]), me, 0.0, True, False))
+            out += [(x, 0, me, 0.0, True, False) for x in held[i]]
+            for j in range(stop[i], stop[i + 1]):
+                if left < CLOSE_AT * capacity:
                     break
-                if e["n"] <= room and e["iid"] not in used:
-                    used.add(e["iid"])
-                    room -= e["n"]
-                    out.append((e["iid"], e["n"], r["seed"], e["d"], False, e["iid"] in seeds))
+                if size[j] <= left and name[j] not in used:
+                    used.add(name[j])
+                    left -= size[j]
+                    out.append((name[j], size[j], me, d[j], False, name[j] in seeds))
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.float32(), pa.bool_(), pa.bool_())
         return pa.table({k: pa.array([x[i] for x in out], t) for i, (k, t) in enumerate(zip(("item", "n", "seed", "d", "kept", "joins"), kinds, strict=True))})
 
@@ -470,7 +471,7 @@ def _largest(free: DataFrame, need: int) -> DataFrame:
 
 
 def _retrieved(spark: SparkSession, work: Workspace, items: DataFrame, stats: Statistics, capacity: int, shard_items: int) -> tuple[DataFrame, DataFrame]:
-    """Containers (id, room) filled with neighbours, and the placed items (iid, container), of items (iid, n, tokens, near)."""
+    """Containers (id, room) filled with neighbours, and the placed items (iid, container), of items (iid, n, steps, tf, near)."""
     boxes = spark.createDataFrame([], "seed long, n long, room long, held array<long>")
     free, whole = items, items.agg(F.sum("n")).first()[0] or 0
     for ask in range(ASKS):
@@ -480,12 +481,12 @@ def _retrieved(spark: SparkSession, work: Workspace, items: DataFrame, stats: St
         usable = boxes.where(F.col("room") >= left["least"]).agg(F.sum("room")).first()[0] or 0
         need = max(0, -(-(left["tokens"] - usable) // capacity))
         cell = F.get("near", F.lit(0)).alias("cell")
-        again = boxes.where(F.col("room") >= CLOSE_AT * capacity).join(items.select(F.col("iid").alias("seed"), "tokens", "near"), "seed").select("seed", "n", "room", F.lit(True).alias("begun"), "held", "tokens", "near", cell)
+        again = boxes.where(F.col("room") >= CLOSE_AT * capacity).join(items.select(F.col("iid").alias("seed"), "steps", "near"), "seed").select("seed", "n", "room", F.lit(True).alias("begun"), "held", "steps", "near", cell)
         fresh = _largest(free, need) if need else free.limit(0)
-        fresh = fresh.select(F.col("iid").alias("seed"), "n", (F.lit(capacity) - F.col("n")).alias("room"), F.lit(False).alias("begun"), F.array().cast("array<long>").alias("held"), "tokens", "near", cell)
+        fresh = fresh.select(F.col("iid").alias("seed"), "n", (F.lit(capacity) - F.col("n")).alias("room"), F.lit(False).alias("begun"), F.array().cast("array<long>").alias("held"), "steps", "near", cell)
         opened = work.save(fresh.unionByName(again), f"open-{ask}")
         lists = work.save(neighbour_lists(spark, opened.withColumnRenamed("seed", "iid"), free, stats, shard_items), f"lists-{ask}")
-        now = _settle(spark, work, opened.drop("tokens", "near"), lists, capacity, f"ask-{ask}")
+        now = _settle(spark, work, opened.drop("steps", "near"), lists, capacity, f"ask-{ask}")
         boxes = work.save(boxes.join(opened.select("seed"), "seed", "left_anti").unionByName(now), f"boxes-{ask}")
         taken = boxes.select(F.explode(F.concat(F.array("seed"), "held")).alias("iid"))
         free = work.save(items.join(taken, "iid", "left_anti"), f"free-{ask}")

@@ -3,10 +3,8 @@
 import math
 import random
 
-from pyspark.sql import functions as F
-
 import numpy as np
-import zstandard
+from pyspark.sql import functions as F
 
 from docketloom.llm import mixing, packing, quality
 from docketloom.llm.tokens import encode, with_token_count
@@ -131,15 +129,17 @@ def test_neighbour_recall(spark, data):
     items = packing.items_of(docs).where("n < 2048").withColumn("iid", F.col("doc_id") * 1_000_000 + F.col("start")).cache()
     stats = packing.Statistics(items)
     near = packing._placed(items, stats, 40).cache()
-    seeds = packing._largest(near, 150).select("iid", "n", (F.lit(2048) - F.col("n")).alias("room"), "tokens", "near")
+    seeds = packing._largest(near, 150).select("iid", "n", (F.lit(2048) - F.col("n")).alias("room"), "steps", "tf", "near")
     got = {r["seed"]: [e["iid"] for e in r["list"]][:10] for r in packing.neighbour_lists(spark, seeds, near, stats, 40).collect()}
     rows = near.toArrow()
-    counts, terms, tf = packing._unpacked(rows.column("tokens").combine_chunks())
+    counts, terms, tf = packing._unpacked(rows)
     n, iid = rows.column("n").to_numpy(), rows.column("iid").to_numpy()
     shard = packing.Shard(counts, terms, stats.weights(terms, tf, np.repeat(n, counts)))
     found = total = 0
-    for s in seeds.select("iid", "n", "room", "tokens").collect():
-        words, _ = packing._unpack(bytes(s["tokens"]), zstandard.ZstdDecompressor())
+    asked = seeds.toArrow()
+    lengths, terms, _ = packing._unpacked(asked)
+    words = np.split(terms, np.cumsum(lengths)[:-1])
+    for s, words in zip(asked.select(["iid", "n", "room"]).to_pylist(), words, strict=True):
         score = shard.scores(np.array([len(words)]), words)[0]
         score[(n > s["room"]) | (n > s["n"]) | (n == s["n"]) & (iid <= s["iid"])] = 0
         best = iid[np.lexsort((iid, -score))][:10]
