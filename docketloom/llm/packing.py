@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docketloom.llm.neighbours import grow_cells
-from docketloom.llm.tokens import TOKENIZER, VOCABULARY, encode
+from docketloom.llm.tokens import TOKENIZER, VOCABULARY, encode_array
 from docketloom.workspace import Workspace, spread
 
 CAPACITY = 2_048
@@ -61,23 +61,31 @@ NO_ID = -(2**63)  # stands for a null doc_id
 
 KEY = ["doc_id", "copy", "start"]
 # sorted token ids are kept as steps, in as few bytes as the vocabulary allows
-STEP, STEP_TYPE, UNSIGNED = ("smallint", pa.int16(), np.uint16) if VOCABULARY <= 1 << 16 else ("int", pa.int32(), np.uint32)
-ITEMS = f"doc_id long, copy long, start long, n long, steps array<{STEP}>, tf array<smallint>"
+STEP = np.uint16 if VOCABULARY <= 1 << 16 else np.uint32
+ITEMS = "doc_id long, copy long, start long, n long, steps binary, tf binary"
 LIST = "array<struct<d:float,iid:long,n:int>>"
 LIST_TYPE = pa.list_(pa.struct([("d", pa.float32()), ("iid", pa.int64()), ("n", pa.int32())]))
 
 
 # ---------------------------------------------------------------- items
-def _unpacked(rows) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+def _numbers(column, kind) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of every row, all numbers) of a binary column, read from its buffer without a step per row."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if not len(column):
+        return np.zeros(0, np.int64), np.zeros(0, kind)
+    at = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, 4 * column.offset)
+    data = column.buffers()[2]
+    width = np.dtype(kind).itemsize
+    return np.diff(at).astype(np.int64) // width, np.frombuffer(data, kind, (at[-1] - at[0]) // width, at[0]) if data is not None else np.zeros(0, kind)
+
+
+def _unpacked(rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(number of terms of every row, terms, counts of the terms) of a batch or table with packed tokens."""
-    flat = lambda c: c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
-    steps, tf = flat(rows.column("steps")), flat(rows.column("tf"))
-    counts = pc.list_value_length(steps).to_numpy(zero_copy_only=False).astype(np.int64)
-    values = steps.flatten().to_numpy(zero_copy_only=False).view(UNSIGNED).astype(np.int64)
-    run = np.cumsum(values)
+    counts, values = _numbers(rows.column("steps"), STEP)
+    run = np.cumsum(values, dtype=np.int64)
     first = np.cumsum(counts) - counts
     before = np.where(first > 0, run[np.maximum(first - 1, 0)], 0) if len(run) else np.zeros(len(counts), np.int64)
-    return counts, run - np.repeat(before, counts), tf.flatten().to_numpy(zero_copy_only=False).astype(np.float32)
+    return counts, run - np.repeat(before, counts), _numbers(rows.column("tf"), np.uint16)[1].astype(np.float32)
 
 
 def items_of(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -85,19 +93,14 @@ def items_of(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str = TO
 
     def run(batches):
         for batch in batches:
-            rows, steps, counts = [], [], []
+            rows = []
             for doc, copy, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "copy", "text")), strict=True):
-                ids = np.array(encode(text, tokenizer), np.int64)
+                ids = encode_array(text, tokenizer)
                 for lo in range(0, len(ids), capacity):
                     part = ids[lo : lo + capacity]
                     terms, tf = np.unique(part, return_counts=True) if len(part) < capacity else (part[:0], part[:0])
-                    rows.append((doc, copy, lo, len(part)))
-                    steps.append(np.diff(terms, prepend=0))
-                    counts.append(tf)
-            stop = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in steps]))).astype(np.int32))
-            flat = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
-            lists = [pa.ListArray.from_arrays(stop, pa.array(flat(steps, UNSIGNED).view(STEP_TYPE.to_pandas_dtype()))), pa.ListArray.from_arrays(stop, pa.array(flat(counts, np.int16)))]
-            yield pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in rows], pa.int64()) for k in range(4)), *lists], names=[*KEY, "n", "steps", "tf"])
+                    rows.append((doc, copy, lo, len(part), np.diff(terms, prepend=terms.dtype.type(0)).astype(STEP).tobytes(), tf.astype(np.uint16).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64() if k < 4 else pa.binary()) for k in range(6)], names=[*KEY, "n", "steps", "tf"])
 
     return documents.mapInArrow(run, ITEMS)
 
@@ -170,7 +173,7 @@ def _placed(items: DataFrame, stats: Statistics, shard_items: int) -> DataFrame:
             near = np.take_along_axis(first, np.argsort(np.take_along_axis(away, first, 1), axis=1, kind="stable"), 1)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("iid", "n", "steps", "tf")), pa.array(list(near.astype(np.int32)), pa.list_(pa.int32()))], names=["iid", "n", "steps", "tf", "near"])
 
-    return items.select("iid", "n", "steps", "tf").mapInArrow(run, f"iid long, n long, steps array<{STEP}>, tf array<smallint>, near array<int>")
+    return items.select("iid", "n", "steps", "tf").mapInArrow(run, "iid long, n long, steps binary, tf binary, near array<int>")
 
 
 # ---------------------------------------------------------------- index
@@ -214,7 +217,7 @@ def neighbour_lists(spark: SparkSession, seeds: DataFrame, free: DataFrame, stat
     """
     told = spark.sparkContext.broadcast(stats)
     home = F.get("near", F.lit(0)).alias("cell")
-    asked = seeds.select("iid", "n", "room", "steps", F.array().cast("array<smallint>").alias("tf"), F.explode("near").alias("cell"))
+    asked = seeds.select("iid", "n", "room", "steps", F.lit(b"").alias("tf"), F.explode("near").alias("cell"))
     many = {r["cell"]: -(-r["count"] // (2 * shard_items)) for r in free.select(home).groupBy("cell").count().where(F.col("count") > 2 * shard_items).collect()}  # at most MOST_CELLS rows
     crowd = {r["cell"]: -(-r["count"] // SEEDS_A_TASK) for r in asked.groupBy("cell").count().where(F.col("count") > SEEDS_A_TASK).collect()}  # as above
 
