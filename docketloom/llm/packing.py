@@ -42,7 +42,7 @@ from docketloom.workspace import Workspace, spread
 
 CAPACITY = 2_048
 SHARD_ITEMS = 3_000
-PROBES = 6
+PROBES = 5
 SAMPLE = 16_384
 MOST_CELLS = 2_048
 WIDTH, SIGNS = 256, 8  # of the random projection

@@ -12,6 +12,7 @@ Defined results
 * null, empty, blank, ``Unknown`` and label-only values are no names;
 * case, blanks, punctuation, titles, words for further parties, legal representatives and connected appeals don't count;
 * a name that fits several parties about equally well joins none of them;
+* names that are neither of these, in other scripts or of one or two letters, are compared by all their letters; they are one party if equal, or from six letters on by the same rule for misspellings;
 * without a table of nicknames every given name stands for itself; extra columns are ignored;
 * equal strings are one name however often they occur; an empty table gives an empty result.
 """
@@ -19,6 +20,7 @@ Defined results
 from __future__ import annotations
 
 import re
+import unicodedata
 from functools import lru_cache
 
 import pyarrow as pa
@@ -27,13 +29,12 @@ from pyspark.sql import functions as F
 
 from docketloom.llm.metric_join import distance, radius_join
 from docketloom.operators.components import connected_components
-from docketloom.workspace import Workspace
+from docketloom.workspace import Workspace, spread
 
 RADIUS = 2
 DOMINANT = 0.75
 NICKNAME_LIMIT = 20_000
-WORD_LIMIT = 500
-PLACE_LIMIT = 5_000
+WORD_LIMIT = 20_000  # words of trades that are told apart, the most frequent ones
 
 # Words around a name that don't belong to it, and the spellings of forms and offices.
 _after = re.compile(
@@ -50,6 +51,7 @@ _forms = {
     "limited": "limited", "ltd": "limited", "private": "private", "pvt": "private", "company": "company", "co": "company", "corporation": "company",
 }
 _joiners = {"and", "&", "n", "of", "the"}
+_initials = re.compile(r"^m\.c\.\s+[a-z]{4,}$", re.IGNORECASE)
 _label = re.compile(r"^[A-Za-z ]{3,20}:\s*$")
 
 
@@ -149,21 +151,36 @@ def _office(text: str) -> tuple[str, str, bool] | None:
     return None
 
 
-def parse(name: str, given: Snapper, nick: dict[str, tuple[str, ...]], places: frozenset[str] | None = None, trades: Snapper | None = None) -> dict | None:
-    """The record of a name.
+def _other(name: str) -> dict:
+    """The record of a name of no known form: all its letters and digits, in lower case."""
+    bare = unicodedata.normalize("NFC", _bare(name) or name).casefold()
+    head = "".join(c for c in bare if c.isalnum() or unicodedata.category(c).startswith("M"))
+    return {"kind": "word", "head": head, "rest": "", "givens": [], "initial": "", "middle": "", "level": 2}
 
-    kind, head and: rest (what must agree), givens (full given names that fit), initial, middle, level
-    (2 complete, 1 partly, 0 initials only).
+
+def parse(name: str, given: Snapper, nick: dict[str, tuple[str, ...]], trades: Snapper | None = None, council: bool = True) -> dict | None:
+    """The record of a name, None for what is no name.
+
+    ``council``: whether M.C. stands for a municipal corporation, else for initials.
     """
     if not is_name(name):
         return None
+    return _known(name, given, nick, trades, council) or _other(name)
+
+
+def _known(name: str, given: Snapper, nick: dict[str, tuple[str, ...]], trades: Snapper | None, council: bool) -> dict | None:
+    """The record of a person, firm or office.
+
+    kind, head and: rest (what must agree), givens (full given names that fit), initial, middle, level
+    (2 complete, 1 partly, 0 initials only).
+    """
     text = _bare(name)
     text = re.sub(r"(?<=[A-Za-z])-\s*(?=[A-Za-z])", lambda m: "-" if "ncome" in text.lower() else "", text)
     if not text:
         return None
     office = _office(text)
     if office and office[0] == "m.c.":
-        office = ("municipal", office[1], False) if places is None or smooth(office[1]) in places else None
+        office = ("municipal", office[1], False) if council else None
     if office:
         head = smooth(office[1])
         return {"kind": "office:" + office[0], "head": head, "rest": "", "givens": [], "initial": "", "middle": "", "level": 0 if office[2] else 2} if head else None
@@ -254,21 +271,28 @@ def _person(text: str, given: Snapper, nick: dict[str, tuple[str, ...]]) -> dict
 
 
 # ---------------------------------------------------------------- linking
-RECORD = "name string, n long, kind string, head string, rest string, givens array<string>, initial string, middle string, level int"
+RECORD = "name string, n long, council boolean, kind string, head string, rest string, givens array<string>, initial string, middle string, level int"
+
 
+def _records(names: DataFrame, given_words: dict[str, int], nick: dict[str, tuple[str, ...]], trade_words: dict[str, int] | None) -> DataFrame:
+    """The records of names (name, n); ``council`` is null but for the two readings of M.C., of which one holds."""
 
-def _records(names: DataFrame, given_words: dict[str, int], nick: dict[str, tuple[str, ...]], places: frozenset[str] | None, trade_words: dict[str, int] | None) -> DataFrame:
     def run(batches):
         given = Snapper(given_words)
         trades = Snapper(trade_words) if trade_words else None
         fields = ("kind", "head", "rest", "givens", "initial", "middle", "level")
         for batch in batches:
-            rows = [(name, n, parse(name, given, nick, places, trades)) for name, n in zip(batch.column("name").to_pylist(), batch.column("n").to_pylist(), strict=True)]
-            rows = [r for r in rows if r[2]]
+            rows = []
+            for name, n in zip(batch.column("name").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                record = parse(name, given, nick, trades)
+                if record and record["kind"] == "office:municipal" and _initials.match(_bare(name)):
+                    rows += [(name, n, True, record), (name, n, False, parse(name, given, nick, trades, council=False))]
+                elif record:
+                    rows.append((name, n, None, record))
             types = {"givens": pa.list_(pa.string()), "level": pa.int32()}
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), *(pa.array([r[2][f] for r in rows], types.get(f, pa.string())) for f in fields)], names=["name", "n", *fields])
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.bool_()), *(pa.array([r[3][f] for r in rows], types.get(f, pa.string())) for f in fields)], names=["name", "n", "council", *fields])
 
-    return names.mapInArrow(run, RECORD)
+    return names.repartition(spread(names.sparkSession), "name").mapInArrow(run, RECORD)
 
 
 def _nicknames(table: DataFrame | None) -> tuple[dict[str, int], dict[str, tuple[str, ...]]]:
@@ -291,14 +315,18 @@ def parties(spark: SparkSession, df: DataFrame, columns: tuple[str, ...] = ("pet
     given, nick = _nicknames(nicknames)
     names = df.select(F.explode(F.array(*[F.col(c).cast("string") for c in columns])).alias("name")).where("name is not null").groupBy("name").agg(F.count("*").alias("n"))
     names = work.save(names, "names")
-    first = work.save(_records(names, given, nick, None, None), "first")
-    # bounded vocabularies of the data itself: places of offices, trades of firms
-    municipal = first.where("kind = 'office:municipal' and not lower(name) rlike '^(the )?m[.]c[.] '").groupBy("head").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "head").limit(PLACE_LIMIT).collect()
+    first = work.save(_records(names, given, nick, None), "first")
+    # a bounded vocabulary of the data itself: trades of firms
     trades = first.where("kind = 'firm'").select(F.split("rest", "\\|")[1].alias("t"), "n").where("length(t) > 2 and not t like '% %'").groupBy("t").agg(F.sum("n").alias("n"), F.count("*").alias("k")).orderBy(F.desc("k"), "t").limit(WORD_LIMIT).collect()
     most = max((t["k"] for t in trades), default=0)
     words = {t["t"]: t["k"] for t in trades if t["k"] >= max(3, 0.1 * most)}
     words = {t: k for t, k in words.items() if not (t.endswith("s") and t[:-1] in words)}
-    named = work.save(_records(names, given, nick, frozenset(r["head"] for r in municipal), words), "named")
+    named = work.save(_records(names, given, nick, words), "both")
+    # M.C. is a municipal corporation where the place has one by its full name
+    towns = named.where("kind = 'office:municipal' and council is null").select("head").distinct()
+    councils = named.where("council").join(towns, "head", "left_semi").select(*named.columns)
+    others = named.where("not council").join(councils.select("name"), "name", "left_anti").select(*named.columns)
+    named = work.save(named.where("council is null").unionByName(councils).unionByName(others).drop("council"), "named")
     record = ["kind", "head", "rest", "givens", "initial", "middle", "level"]
     records = work.save(named.groupBy(*record).agg(F.sum("n").alias("n"), F.min("name").alias("any")).withColumn("rid", F.xxhash64(*record)), "records")
     near = work.save(radius_join(spark, records.select("kind", "head").distinct(), radius), "near")
@@ -310,7 +338,7 @@ def parties(spark: SparkSession, df: DataFrame, columns: tuple[str, ...] = ("pet
     whole_key = ["kind", "rest", "givens", "middle"]
     x = records.where("level = 2").select(*whole_key, F.col("head").alias("a"), F.col("rid").alias("x"), F.col("n").alias("nx"))
     y = records.where("level = 2").select(*whole_key, F.col("head").alias("b"), F.col("rid").alias("y"), F.col("n").alias("ny"))
-    wide = heads.where("distance <= 1 or least(length(a), length(b)) >= if(kind like 'office%', 5, 8)")
+    wide = heads.where("distance = 0 or (kind <> 'word' or least(length(a), length(b)) >= 6) and (distance <= 1 or least(length(a), length(b)) >= if(kind like 'office%', 5, 8))")
     met = x.join(wide, ["kind", "a"]).join(y, [*whole_key, "b"])
     # two edits are a misspelling only beside a much more frequent spelling
     sure = (F.col("distance") <= 1) | (F.least("nx", "ny") <= 3) | (F.least("nx", "ny") * 4 <= F.greatest("nx", "ny"))
@@ -328,7 +356,9 @@ def parties(spark: SparkSession, df: DataFrame, columns: tuple[str, ...] = ("pet
     middle_fit = (F.col("m") == F.col("middle")) | (F.col("m") == "")
     fit = tried.where(person & named_fit & middle_fit & ~((F.col("level") == 2) & (F.col("middle") == "")))
     short = records.where(F.col("kind").startswith("office") & (F.col("level") == 0)).select("kind", F.col("head").alias("a"), "rid")
-    places = group.where(office).join(short, "kind").where(F.col("b").startswith(F.col("a")))
+    # shortened places have four letters at most
+    begins = group.where(office).withColumn("a", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda k: F.substring("b", F.lit(1), k)))))
+    places = begins.join(short, ["kind", "a"])
     options = fit.select("rid", "party", "weight").unionByName(places.select("rid", "party", "weight")).groupBy("rid", "party").agg(F.sum("weight").alias("weight"))
     best = options.groupBy("rid").agg(F.max_by("party", F.struct("weight", "party")).alias("to"), F.max("weight").alias("top"), F.sum("weight").alias("all"))
     joined = work.save(best.where(F.col("top") >= DOMINANT * F.col("all")).select(F.col("rid").alias("x"), F.col("to").alias("y")), "edges-partial")
@@ -336,8 +366,8 @@ def parties(spark: SparkSession, df: DataFrame, columns: tuple[str, ...] = ("pet
     # what is left: equal initials of near surnames
     alone = records.where("kind = 'person' and level < 2 and initial <> ''").join(joined.select(F.col("x").alias("rid")), "rid", "left_anti")
     p = alone.select(F.col("head").alias("a"), F.col("initial").alias("i"), F.col("middle").alias("m"), F.col("rid").alias("x"))
-    q = alone.select(F.col("head").alias("b"), "initial", "middle", F.col("rid").alias("y"))
-    rest = p.join(heads.where("kind = 'person' and distance <= 1").select("a", "b"), "a").join(q, "b").where("i = initial and m = middle and x < y").select("x", "y")
+    q = alone.select(F.col("head").alias("b"), F.col("initial").alias("i"), F.col("middle").alias("m"), F.col("rid").alias("y"))
+    rest = p.join(heads.where("kind = 'person' and distance <= 1").select("a", "b"), "a").join(q, ["b", "i", "m"]).where("x < y").select("x", "y")
     links = whole.where("rid <> party").select(F.col("rid").alias("x"), F.col("party").alias("y")).unionByName(joined).unionByName(rest)
     final = connected_components(spark, work.save(links, "links"), "x", "y").select(F.col("id").alias("rid"), "component")
     keyed = named.withColumn("rid", F.xxhash64(*record))

@@ -14,8 +14,9 @@ def test_distance():
     assert [d("abc", "abc"), d("abc", "acb"), d("abc", "ab"), d("", "abc"), d("ca", "abc")] == [0, 1, 1, 3, 2]
     rng = random.Random(2)
     words = ["".join(rng.choice("abcd") for _ in range(rng.randint(1, 9))) for _ in range(300)]
-    a, la = metric_join.codes(words)
-    b, lb = metric_join.codes(words[::-1])
+    alphabet = metric_join.Alphabet()
+    a, la = metric_join.codes(words, alphabet)
+    b, lb = metric_join.codes(words[::-1], alphabet)
     assert metric_join.distances(a, la, b, lb).tolist() == [d(x, y) for x, y in zip(words, words[::-1], strict=True)]
 
 
@@ -68,3 +69,38 @@ def test_edges(spark):
 def test_parse(name, kind, head):
     found = party_names.parse(name, party_names.Snapper({"vasikesh": 1}), {})
     assert (found["kind"], found["head"]) == (kind, head)
+
+
+def test_within():
+    rng = random.Random(8)
+    for _ in range(3_000):
+        a = "".join(rng.choice("abक") for _ in range(rng.randint(0, 9)))
+        b = list(a)
+        for _ in range(rng.randint(0, 3)):
+            i = rng.randint(0, len(b))
+            b[i:i] = rng.choice("abक")
+            if rng.random() < 0.5 and b:
+                del b[rng.randrange(len(b))]
+        b = "".join(b)
+        d = metric_join.distance(a, b)
+        assert metric_join.within(a, b, 2) == (d if d <= 2 else None), (a, b)
+
+
+def test_long_strings_and_other_scripts(spark, monkeypatch):
+    rng = random.Random(4)
+    words = {"a" * 40 + "smith", "a" * 40 + "jones", "a" * 40 + "smiht", "राम", "रमा", "श्याम"}
+    for _ in range(60):
+        base = "".join(rng.choice("abcdeक") for _ in range(rng.randint(34, 90)))
+        words |= {base, base[:5] + base[6:], base[:20] + base[21] + base[20] + base[22:], base + "xy", base[3:]}
+    words = sorted(words)
+    df = spark.createDataFrame([("k", w) for w in words], "kind string, head string")
+    true = {(x, y, metric_join.distance(x, y)) for i, x in enumerate(words) for y in words[i + 1 :] if abs(len(x) - len(y)) <= 2 and metric_join.distance(x, y) <= 2}
+    assert {(r["a"], r["b"], r["distance"]) for r in metric_join.radius_join(spark, df, 2).collect()} == true
+    monkeypatch.setattr(metric_join, "CELL_CAP", 30)
+    assert {(r["a"], r["b"], r["distance"]) for r in metric_join.radius_join(spark, df, 2).collect()} == true
+
+
+def test_names_of_no_known_form(spark):
+    named = groups(spark, ["राम कुमार", "राम  कुमार", "AB", "X Y", "A.B.", "AC", "M.C. Palivat", "Municipal Corporation of Palivat", "M.C. Tolarnat"])
+    assert len(named) == 9 and named["राम कुमार"] == named["राम  कुमार"] and named["AB"] == named["A.B."] != named["AC"]
+    assert named["M.C. Palivat"] == named["Municipal Corporation of Palivat"] != named["M.C. Tolarnat"]
