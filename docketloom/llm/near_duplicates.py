@@ -23,6 +23,7 @@ Defined results
 from __future__ import annotations
 
 import re
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,6 @@ TREES = 40
 DEPTH = 12
 REACH = 48
 LEAST_PREFIX = 1
-MOST_ROUNDS = 12
 KEY_BYTES = 2 * DEPTH
 SKETCH_BYTES = BINS // 8
 
@@ -221,11 +221,22 @@ def _block(rows: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray]:
 def _stitch(edges: DataFrame, spark: SparkSession, threshold: float) -> DataFrame:
     """Candidates across the borders of neighbouring partitions.
 
-    Tail rows of a partition meet head rows of the next; an order of P
-    partitions has at most 2 * REACH * P such rows.
+    Tail rows of a partition meet the ``REACH`` rows that follow, over as many
+    partitions as hold them, as some may be small or empty; an order of P partitions
+    has at most 2 * REACH * P such rows.
     """
+    sizes = sorted((r["part"], r["count"]) for r in edges.where("side = 'head'").groupBy("part").count().collect())  # one row per partition
+    borders = []
+    for i, (part, _) in enumerate(sizes):
+        seen = 0
+        for other, rows in sizes[i + 1 :]:
+            if seen >= REACH:
+                break
+            borders.append((part, other))
+            seen += rows
+    pairs = F.broadcast(spark.createDataFrame(borders, "border int, part int"))
     tails = edges.where("side = 'tail'").withColumn("border", F.col("part"))
-    heads = edges.where("side = 'head'").withColumn("border", F.col("part") - 1)
+    heads = edges.where("side = 'head'").join(pairs, "part").select(*tails.columns)
 
     def run(table):
         rows = table.select(["tree", "key", "id", "size", "sketch"]).combine_chunks().sort_by([("tree", "ascending"), ("key", "ascending"), ("id", "ascending")])
@@ -268,7 +279,7 @@ def _complete(links: DataFrame, texts: DataFrame, work: Workspace, spark: SparkS
 
     Rounds go on until such texts gain no further link, so a crowded region loses none.
     """
-    for turn in range(1, MOST_ROUNDS + 1):
+    for turn in count(1):
         both = links.select("u", "w").unionByName(links.select(F.col("w").alias("u"), F.col("u").alias("w")))
         full = both.groupBy("u").count().where(F.col("count") >= REACH).select("u")
         if not full.limit(1).count():
@@ -279,7 +290,7 @@ def _complete(links: DataFrame, texts: DataFrame, work: Workspace, spark: SparkS
         if not more.limit(1).count():
             return links
         links = work.save(links.unionByName(more), f"all-{turn}")
-    return links
+    raise AssertionError("unreachable")
 
 
 def near_duplicates(spark: SparkSession, df: DataFrame, id_col: str = "id", text_col: str = "judgment_text", words: int = WORDS, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:

@@ -75,6 +75,9 @@ _classes = _character_table()
 _bits = np.array([[bool(kind & bit) for kind in range(128)] for bit in (LETTER, UPPER, DIGIT, SPACE, ODD, DEVANAGARI, LATIN)], np.int64)
 
 
+GROUP = 8  # languages that one description has room for
+
+
 class _Tokens(dict):
     """Blank-separated token to a packed description, remembered for the tokens met last.
 
@@ -84,7 +87,10 @@ class _Tokens(dict):
 
     def __init__(self, common: dict[str, frozenset[str]]):
         super().__init__()
-        self.common = list(common.values())
+        words = list(common.values())
+        self.common = words[:GROUP]
+        # further languages have descriptions of their own
+        self.more = _Tokens(dict(enumerate(words[GROUP:]))) if len(words) > GROUP else None
 
     def __missing__(self, token: str) -> int:
         if len(self) > 500_000:
@@ -95,7 +101,7 @@ class _Tokens(dict):
         if word:
             low = core.lower()
             code |= min(63, len(core)) | 64 | (zlib.crc32(low.encode("utf-8", "replace")) << 24)
-            for k, known in enumerate(self.common[:8]):
+            for k, known in enumerate(self.common):
                 code |= (low in known) << (8 + k)
         elif core and not all(c.isdigit() or c in ".,/:()%-" for c in core):
             code |= 128
@@ -151,14 +157,19 @@ def statistics(text: str, languages: list[str], tokens: _Tokens) -> tuple[str, l
     codes = np.fromiter((tokens[t] for part in split for t in part), np.int64, sum(map(len, split)))
     word = (codes & 64) != 0
     letters = np.where(word, codes & 63, 0)
-    hits = [int(((codes >> (8 + k)) & 1).sum()) for k in range(min(8, len(languages)))]
+    told, tier = [codes], tokens.more
+    while tier is not None:
+        told.append(np.fromiter((tier[t] for part in split for t in part), np.int64, len(codes)))
+        tier = tier.more
+    known = lambda k: (told[k // GROUP] >> (8 + k % GROUP)) & 1
+    hits = [int(known(k).sum()) for k in range(len(languages))]
     if hits and max(hits):
         best = min(range(len(hits)), key=lambda k: (-hits[k], languages[k]))
         language = languages[best]
     else:
         language = "und" if not (deva or latin) else "hi" if deva > latin else "en"
         best = languages.index(language) if language in languages else -1
-    common = ((codes >> (8 + best)) & 1) if best >= 0 else np.zeros(len(codes), np.int64)
+    common = known(best) if best >= 0 else np.zeros(len(codes), np.int64)
 
     repeated = Counter(x.strip() for x in lines)
     copies = sum(len(x) * (n - 1) for x, n in repeated.items() if n > 1) if len(repeated) < len(lines) else 0

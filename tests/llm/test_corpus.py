@@ -181,3 +181,11 @@ def test_regions_settle_alike(spark, monkeypatch):
 
 
 SETTLE = packing._settle
+
+
+def test_more_than_eight_languages():
+    common = {f"l{k:02}": frozenset({f"word{chr(97 + k)}x", f"other{chr(97 + k)}y"}) for k in range(19)}
+    tokens = quality._Tokens(common)
+    for k, c in ((k, chr(97 + k)) for k in (0, 7, 8, 16, 18)):
+        language, row = quality.statistics(f"Some word{c}x and other{c}y of it, word{c}x again.", list(common), tokens)
+        assert language == f"l{k:02}" and row[quality.STATISTICS.index("common_share")] > 0.3

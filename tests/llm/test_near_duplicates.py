@@ -49,3 +49,13 @@ def test_edges(spark):
     assert groups[3]["group_id"] == groups[1]["group_id"] == 1 and groups[2]["class_id"] == 1 and groups[1]["links"] == 1
     assert 4 not in groups and 5 not in groups and groups[13]["links"] == 0
     assert run(spark, []) == (set(), {})
+
+
+def test_small_partitions_are_stitched(spark, monkeypatch):
+    """As many partitions as rows almost: neighbours lie several partitions apart."""
+    monkeypatch.setattr(near_duplicates, "spread", lambda spark: 40)
+    words = [f"w{i}" for i in range(400)]
+    texts = [(i, " ".join(words[:300] + words[300 + i : 330 + i])) for i in range(12)]
+    df = spark.createDataFrame(texts, "id long, judgment_text string")
+    links, classes = near_duplicates.near_duplicates(spark, df)
+    assert near_duplicates.all_pairs(links, classes).count() == 66
