@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketloom.workspace import Workspace
 
 
-def connected_components(spark: SparkSession, edges: DataFrame, a: str = "id_a", b: str = "id_b", max_rounds: int = 60) -> DataFrame:
+def connected_components(spark: SparkSession, edges: DataFrame, a: str = "id_a", b: str = "id_b") -> DataFrame:
     """(id, component) for every end of an edge; component is the smallest id in it.
 
     Alternating large-star and small-star rounds: every round sends each node's
@@ -32,7 +34,7 @@ def connected_components(spark: SparkSession, edges: DataFrame, a: str = "id_a",
         return out.where("u <> v").distinct()
 
     sign = None
-    for turn in range(1, max_rounds + 1):
+    for turn in count(1):  # the number of rounds grows with the logarithm of the longest chain
         nxt = work.save(star(star(now, True), False), f"e{turn}")
         mark = nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         work.drop(f"e{turn - 1}")

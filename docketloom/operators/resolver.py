@@ -12,7 +12,6 @@ from docketloom.workspace import Workspace
 
 MIN_SIDE_COVERAGE = 1 / 3
 MAX_TOKEN_DF = 200
-MOST_ALIAS_WORDS = 60
 
 
 def alias_table(judgments: DataFrame) -> DataFrame:
@@ -59,10 +58,12 @@ def resolve(spark: SparkSession, mentions: DataFrame, aliases: DataFrame, years:
     by_name = work.save(by_name.where("concat(' ', norm, ' ') like '% v %'").select("mention_id", "norm", "cited_year", "titles"), "named")
     known = aliases.where("kind = 'case_name'").select("alias_norm", F.col("judgment_id").alias("jid"))
     size = F.size(F.split("alias_norm", " "))
-    lengths = [r["n"] for r in known.select(size.alias("n")).where(f"n <= {MOST_ALIAS_WORDS}").distinct().orderBy("n").collect()]  # at most MOST_ALIAS_WORDS values
-    words = F.split("norm", " ")
-    runs = F.flatten(F.array(*[_runs(words, n) for n in lengths])) if lengths else F.array().cast("array<string>")
-    inside = by_name.select("mention_id", "cited_year", F.explode(F.array_distinct(runs)).alias("alias_norm")).join(known, "alias_norm")
+    lengths = sorted(r["n"] for r in known.select(size.alias("n")).distinct().collect())  # one value per length of a name in words
+    words = by_name.select("mention_id", "cited_year", F.split("norm", " ").alias("w"))
+    begun = words.select("mention_id", "cited_year", "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("at"))
+    runs = begun.select("mention_id", "cited_year", "w", "at", F.explode(F.array(*map(F.lit, lengths)) if lengths else F.array().cast("array<int>")).alias("n")).where("at + n - 1 <= size(w)")
+    runs = runs.select("mention_id", "cited_year", F.array_join(F.slice("w", F.col("at"), F.col("n")), " ").alias("alias_norm")).distinct()
+    inside = runs.join(known, "alias_norm")
     longest = Window.partitionBy("mention_id").orderBy(F.desc(F.length("alias_norm")))
     inside = inside.withColumn("_r", F.rank().over(longest)).where("_r = 1").select("mention_id", "cited_year", "jid", F.lit(100.0).alias("score")).distinct()
     exact = _pick(inside, years, "exact_name")
@@ -91,12 +92,6 @@ def resolve(spark: SparkSession, mentions: DataFrame, aliases: DataFrame, years:
     return out.select("mention_id", F.when(~self_, F.col("judgment_id")).alias("judgment_id"), F.when(self_, "self").otherwise(F.coalesce("method", F.lit("unresolved"))).alias("method"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
-def _runs(words, n: int):
-    """All runs of ``n`` consecutive words as strings."""
-    places = F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1)))
-    return F.when(F.size(words) >= n, F.transform(places, lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
-
-
 def _pick(options: DataFrame, years: DataFrame, method: str) -> DataFrame:
     """The only target, or the only one of the cited year; else ambiguous."""
     dated = options.join(years, "jid", "left").withColumn("same", F.col("jyear") == F.col("cited_year"))

@@ -86,19 +86,34 @@ def terms(col: str | Column, stop: tuple[str, ...] = STOP_WORDS) -> Column:
     return F.filter(words, lambda w: (F.length(w) >= 3) & ~w.isin(*stop))
 
 
-def postings(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, term, tf, length): the inverted lists of a text column."""
+def asked_terms(queries: DataFrame) -> DataFrame:
+    """(query_id, term) of queries (query_id, text), every term once."""
+    return queries.select("query_id", F.explode(F.array_distinct(terms("text"))).alias("term"))
+
+
+def postings(df: DataFrame, id_col: str, text_col: str, queries: DataFrame | None = None) -> DataFrame:
+    """(id, term, tf, length): the inverted lists of a text column, of the terms of ``queries`` alone where given.
+
+    The terms are then filtered before anything is grouped, so only postings that can match are shuffled.
+    """
     base = df.select(F.col(id_col).alias("id"), terms(text_col).alias("t"))
     flat = base.select("id", F.size("t").alias("length"), F.explode("t").alias("term"))
+    if queries is not None:
+        flat = flat.join(asked_terms(queries).select("term").distinct(), "term", "left_semi")
     return flat.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
 
 
+def text_sizes(df: DataFrame, text_col: str) -> DataFrame:
+    """One row: number of texts with a term and their mean length."""
+    return df.select(F.size(terms(text_col)).alias("n")).where("n > 0").agg(F.count("*").alias("docs"), F.avg("n").alias("mean"))
+
+
 def keyword_topk(queries: DataFrame, index: DataFrame, k: int = CANDIDATES, match_all: bool = True) -> DataFrame:
     """(query_id, id, score, rank): texts that hold all terms of a query, by summed share of their words.
 
     ``queries`` is (query_id, text). The score is the sum of tf / length; ties go to the smaller id.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(terms("text"))).alias("term"))
+    asked = asked_terms(queries)
     wanted = asked.groupBy("query_id").agg(F.count("*").alias("wanted"))
     hit = index.join(asked, "term").groupBy("query_id", "id").agg(F.count("*").alias("got"), F.round(F.sum(F.col("tf") / F.col("length")), 9).alias("score"))
     if match_all:
@@ -106,12 +121,10 @@ def keyword_topk(queries: DataFrame, index: DataFrame, k: int = CANDIDATES, matc
     return rank_by(hit.select("query_id", "id", "score"), "query_id", [F.desc("score"), F.col("id")], k)
 
 
-def bm25_topk(queries: DataFrame, index: DataFrame, k: int = CANDIDATES, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(query_id, id, score, rank) by Okapi BM25 over any matching term, statistics of the whole index."""
-    size = index.groupBy("id").agg(F.first("length").alias("length")).agg(F.count("*").alias("docs"), F.avg("length").alias("mean"))
+def bm25_topk(queries: DataFrame, index: DataFrame, size: DataFrame, k: int = CANDIDATES, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(query_id, id, score, rank) by Okapi BM25 over any matching term; ``size`` is that of the whole corpus (:func:`text_sizes`)."""
     df = index.groupBy("term").agg(F.count("*").alias("df"))
-    asked = queries.select("query_id", F.explode(F.array_distinct(terms("text"))).alias("term"))
-    weighed = asked.join(df, "term").join(F.broadcast(size)).withColumn("idf", F.log1p((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))  # one row
+    weighed = asked_terms(queries).join(df, "term").join(F.broadcast(size)).withColumn("idf", F.log1p((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))  # one row
     gain = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
     hit = index.join(weighed, "term").groupBy("query_id", "id").agg(F.round(F.sum(gain), 9).alias("score"))
     return rank_by(hit, "query_id", [F.desc("score"), F.col("id")], k)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from docketloom.plans import chats, graphs, maintenance, quality, retrieval, texts
+from docketloom.plans import answers, chats, graphs, literals, maintenance, quality, retrieval, texts
 
-PARTS = (retrieval, graphs, maintenance, texts, chats, quality)
+PARTS = (retrieval, graphs, maintenance, texts, chats, quality, answers, literals)
 
 
 def queries() -> dict:

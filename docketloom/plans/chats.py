@@ -103,4 +103,8 @@ SQL = {
         b AS (SELECT session, k, max(pos) pos FROM a WHERE k IS NOT NULL AND k <> session % 100 GROUP BY session, k)
         SELECT session, row_number() OVER (PARTITION BY session ORDER BY pos DESC) AS position, 'judgment' doc_type, k chunk_id FROM b""",
     "export_round_trip": f"WITH {_M} SELECT session, true AS valid, count(*) n FROM m GROUP BY session",
+    "export_json": f"WITH {_M} SELECT session, to_json(struct_pack(format := '{chat.EXPORT_FORMAT}', version := {chat.EXPORT_VERSION}, session_id := session, messages := list(struct_pack(pos := pos, role := role, content := content) ORDER BY pos)))::VARCHAR AS document FROM m GROUP BY session",
+    "rewrite_requests": f"""WITH {_M}, t AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY session ORDER BY pos DESC) <= 6), r AS (SELECT * FROM t QUALIFY pos >= min(CASE WHEN role = 'user' THEN pos END) OVER (PARTITION BY session)),
+        l AS (SELECT session, pos, CASE WHEN role = 'user' THEN 'User: ' || trim(content) ELSE 'Assistant: ' || trim(regexp_replace(content, '\\s+', ' ', 'g')) END line FROM r)
+        SELECT session, 'Conversation so far:' || chr(10) || string_agg(line, chr(10) ORDER BY pos) conversation FROM l GROUP BY session""",
 }

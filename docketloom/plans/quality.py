@@ -109,4 +109,8 @@ SQL = {
     "grouped_positions": f"""WITH {_FUSED}, top AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 9) DESC, dense_rank NULLS LAST, keyword_rank NULLS LAST, id) AS rank FROM fused QUALIFY rank <= 8),
         g AS (SELECT query_id, top.id, rank, min(rank) OVER (PARTITION BY query_id, judgment_id) f FROM top JOIN chunks ON chunk_id = top.id JOIN judgments j ON j.id = judgment_id)
         SELECT query_id, rank, id, dense_rank() OVER (PARTITION BY query_id ORDER BY f) group_no FROM g""",
+    "ir_metrics_flat": f"WITH {_HITS}, w AS (SELECT section, count(*)::DOUBLE n, {_CUTS}, {_MRR} FROM hits GROUP BY section) SELECT section, name AS metric, value FROM (UNPIVOT w ON COLUMNS(* EXCLUDE section) INTO NAME name VALUE value)",
+    "source_labels": f"""WITH {_FUSED}, top AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 9) DESC, dense_rank NULLS LAST, keyword_rank NULLS LAST, id) AS rank FROM fused QUALIFY rank <= 8),
+        l AS (SELECT query_id, coalesce(petitioner, 'Unknown') || ' (' || coalesce(court, 'None') || ', ' || coalesce(year(date_of_judgment)::VARCHAR, 'None') || ')' AS label, min(rank) f FROM top JOIN chunks ON chunk_id = top.id JOIN judgments j ON j.id = judgment_id GROUP BY ALL)
+        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY f) AS position, label FROM l""",
 }

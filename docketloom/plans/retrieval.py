@@ -57,7 +57,7 @@ def hits_with_case(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.postings(_chunks(spark, d), "chunk_id", "content")
+    return retrieval.postings(_chunks(spark, d), "chunk_id", "content", _texts(spark, d))
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
@@ -73,7 +73,7 @@ def keyword_any_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    ranked = retrieval.bm25_topk(_texts(spark, d), _index(spark, d))
+    ranked = retrieval.bm25_topk(_texts(spark, d), _index(spark, d), retrieval.text_sizes(_chunks(spark, d), "content"))
     return ranked.select("query_id", "id", F.round("score", 6).alias("score"))
 
 
