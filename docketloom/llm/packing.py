@@ -520,11 +520,13 @@ def pack_texts(spark: SparkSession, documents: DataFrame, capacity: int = CAPACI
         closed = _close(spark, work, boxes, rest.select("iid", "n").join(placed, "iid", "left_anti"), capacity, True, "gaps")
         placed = work.save(placed.unionByName(closed).join(rest.select("iid", "n"), "iid"), "all")
         # containers left too empty are opened and packed once more by size, if that takes fewer
-        short = placed.groupBy("container").agg(F.sum("n").alias("fill")).where(F.col("fill") < REOPEN_BELOW * capacity).select("container")
-        short = work.save(short, "short")
-        again = _close(spark, work, None, placed.join(short, "container", "left_semi").select("iid", "n"), capacity, True, "again")
-        if again.select("container").distinct().count() < short.count():
-            placed = placed.join(short, "container", "left_anti").select("iid", "container").unionByName(again)
+        short = work.save(placed.groupBy("container").agg(F.sum("n").alias("fill")).where(F.col("fill") < REOPEN_BELOW * capacity), "short")
+        poor = short.agg(F.count("*").alias("n"), F.sum("fill").alias("tokens")).first()
+        if poor["n"] > -(-(poor["tokens"] or 0) // capacity):
+            short = short.select("container")
+            again = _close(spark, work, None, placed.join(short, "container", "left_semi").select("iid", "n"), capacity, True, "again")
+            if again.select("container").distinct().count() < poor["n"]:
+                placed = placed.join(short, "container", "left_anti").select("iid", "container").unionByName(again)
         out = out.unionByName(placed.select("iid", "container"))
     out = out.join(items.select("iid", *KEY, "n"), "iid")
     fill = out.groupBy("container").agg(F.sum("n").alias("fill"))
