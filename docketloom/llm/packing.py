@@ -491,9 +491,10 @@ def _retrieved(spark: SparkSession, work: Workspace, items: DataFrame, stats: St
         lists = work.save(neighbour_lists(spark, opened.withColumnRenamed("seed", "iid"), free, stats, shard_items), f"lists-{ask}")
         now = _settle(spark, work, opened.drop("steps", "near"), lists, capacity, f"ask-{ask}")
         boxes = work.save(boxes.join(opened.select("seed"), "seed", "left_anti").unionByName(now), f"boxes-{ask}")
-        taken = boxes.select(F.explode(F.concat(F.array("seed"), "held")).alias("iid"))
-        free = work.save(items.join(taken, "iid", "left_anti"), f"free-{ask}")
         work.drop(f"lists-{ask}", f"free-{ask - 1}", f"boxes-{ask - 1}", f"open-{ask}", f"ask-{ask}-state-0", f"ask-{ask}-claims-0")
+        if ask + 1 < ASKS:
+            taken = boxes.select(F.explode(F.concat(F.array("seed"), "held")).alias("iid"))
+            free = work.save(items.join(taken, "iid", "left_anti"), f"free-{ask}")
     named = boxes.withColumn("container", F.concat(F.lit("b-"), F.col("seed")))
     return named.where("room > 0").select(F.col("container").alias("id"), "room"), named.select("container", F.explode(F.concat(F.array("seed"), "held")).alias("iid")).select("iid", "container")
 
