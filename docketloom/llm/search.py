@@ -3,7 +3,8 @@
 Every query enters at members of its nearest cells and keeps a beam of the best
 nodes met; each round it visits the neighbours of the beam's unvisited nodes. It
 ends when no beam changes. The state of a query is its beam, never more than
-``beam`` nodes.
+``beam`` nodes. Queries are taken in blocks of at most ``BLOCK``, whose vectors are broadcast; a
+node visited by many queries of a block is met with its vector once.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from docketloom.workspace import Workspace
 
 ENTRIES = 32
 REVERSE = 16
+BLOCK = 8_192
 
 
 def greedy_search(spark: SparkSession, queries: DataFrame, df: DataFrame, id_col: str, vec_col: str = "embedding", order_col: str | None = None, k: int = 10, beam: int = 48, max_rounds: int = 12) -> DataFrame:
@@ -59,29 +61,53 @@ def greedy_search(spark: SparkSession, queries: DataFrame, df: DataFrame, id_col
     links = forth.unionByName(back).groupBy("at").agg(F.collect_set("to").alias("to"))
     links = work.save(links, "links")
 
+    total = q.count()
+    blocks = max(1, -(-total // BLOCK))
+    numbered = q.withColumn("_b", F.pmod(F.xxhash64("query_id", F.lit(7)), F.lit(blocks)))
+    parts = [_walk(spark, work, numbered.where(F.col("_b") == b).drop("_b"), seed, links, nodes, k, beam, max_rounds, f"b{b}") for b in range(blocks)]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _walk(spark: SparkSession, work: Workspace, q: DataFrame, seed: DataFrame, links: DataFrame, nodes: DataFrame, k: int, beam: int, max_rounds: int, label: str) -> DataFrame:
+    """The search of one block of queries (query_id, vq)."""
+    rows = q.select("query_id", "vq").toArrow()  # one block: about BLOCK vectors
+    names = rows.column("query_id").to_pylist()
+    told = spark.sparkContext.broadcast((dict(zip(names, range(len(names)), strict=True)), rows.column("vq").to_pylist()))
+    mine = seed.join(q.select("query_id"), "query_id", "left_semi")
+
     def measure(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(q.select("query_id", "vq"), "query_id").join(nodes.select("id", "vec"), "id")
+        met = pairs.groupBy("id").agg(F.collect_list("query_id").alias("queries")).join(nodes.select("id", "vec"), "id")
 
         def run(batches):
-            for batch in batches:
-                cos = np.zeros(batch.num_rows)
-                for lo in range(0, batch.num_rows, 512):
-                    part = batch.slice(lo, 512)
-                    if part.num_rows:
-                        a, b = neighbours.unit(neighbours.unpack(part.column("vq").to_pylist())), neighbours.unit(neighbours.unpack(part.column("vec").to_pylist()))
-                        cos[lo : lo + part.num_rows] = np.einsum("ij,ij->i", a, b)
-                yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("id"), pa.array(np.round(cos, neighbours.DECIMALS))], names=["query_id", "id", "cosine"])
+            place, blobs = told.value
+            asked = neighbours.unit(neighbours.unpack(blobs)) if blobs else None
+            for batch in (b.slice(lo, 512) for b in batches for lo in range(0, b.num_rows, 512)):
+                if not batch.num_rows:
+                    continue
+                vectors = neighbours.unit(neighbours.unpack(batch.column("vec").to_pylist()))
+                many = batch.column("queries").to_pylist()
+                who = np.fromiter((x for some in many for x in some), np.int64)
+                at = np.repeat(np.arange(len(many)), [len(x) for x in many])
+                rows = np.fromiter((place[x] for x in who.tolist()), np.int64, len(who))
+                cos = np.empty(len(who))
+                for lo in range(0, len(who), 4_096):
+                    cos[lo : lo + 4_096] = np.einsum("ij,ij->i", asked[rows[lo : lo + 4_096]], vectors[at[lo : lo + 4_096]])
+                ids = batch.column("id").to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(ids[at]), pa.array(np.round(cos, neighbours.DECIMALS))], names=["query_id", "id", "cosine"])
 
-        return both.select("query_id", "id", "vq", "vec").mapInArrow(run, "query_id long, id long, cosine double")
+        return met.select("id", "queries", "vec").mapInArrow(run, "query_id long, id long, cosine double")
 
     best = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "id")
-    state = work.save(measure(seed).withColumn("fresh", F.lit(True)), "s0")
+    state = work.save(measure(mine).withColumn("fresh", F.lit(True)), f"{label}-s0")
     state = state.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= beam).drop("_r")
     for turn in range(1, max_rounds + 1):
-        state = work.save(state, f"b{turn}")
+        state = work.save(state, f"{label}-b{turn}")
         front = state.where("fresh").join(links, F.col("id") == F.col("at")).select("query_id", F.explode("to").alias("id")).distinct()
         new = front.join(state, ["query_id", "id"], "left_anti")
-        met = work.save(measure(new).withColumn("fresh", F.lit(True)), f"m{turn}")
+        met = work.save(measure(new).withColumn("fresh", F.lit(True)), f"{label}-m{turn}")
         floor = state.groupBy("query_id").agg(F.min("cosine").alias("floor"), F.count("*").alias("held"))
         if not met.join(floor, "query_id").where((F.col("held") < beam) | (F.col("cosine") > F.col("floor"))).limit(1).count():
             break

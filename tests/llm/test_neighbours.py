@@ -117,3 +117,13 @@ def test_search_over_all_chunks(spark, data):
     assert asked and set(found) == set(asked)
     hits = [np.mean(np.array(found[i]) >= np.sort(x @ (v := last[i][1].astype(np.float64)) / np.linalg.norm(v))[-10] - 1e-6) for i in asked]
     assert np.mean(hits) >= 0.9
+
+
+def test_search_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(i, np.round(rng.normal(size=8), 3)) for i in range(150)]
+    asked = rows[::10]
+    whole = search.greedy_search(spark, frame(spark, asked), frame(spark, rows), "id", k=4, beam=16)
+    monkeypatch.setattr(search, "BLOCK", 4)
+    parts = search.greedy_search(spark, frame(spark, asked), frame(spark, rows), "id", k=4, beam=16)
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, parts.collect()))
