@@ -60,6 +60,7 @@ def greedy_search(spark: SparkSession, queries: DataFrame, df: DataFrame, id_col
     back = neighbours._top_per(forth.select(F.col("to").alias("at"), F.col("at").alias("to"), "cos"), "at", [F.desc("cos"), F.col("to")], REVERSE, F.pmod(F.xxhash64("to"), F.lit(neighbours.SALT)))
     links = forth.unionByName(back).groupBy("at").agg(F.collect_set("to").alias("to"))
     links = work.save(links, "links")
+    work.drop("enc", "enc-latest")  # the nodes have the vectors
 
     total = q.count()
     blocks = max(1, -(-total // BLOCK))
@@ -105,6 +106,7 @@ def _walk(spark: SparkSession, work: Workspace, q: DataFrame, seed: DataFrame, l
     state = state.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= beam).drop("_r")
     for turn in range(1, max_rounds + 1):
         state = work.save(state, f"{label}-b{turn}")
+        work.drop(f"{label}-s0", f"{label}-b{turn - 1}", f"{label}-m{turn - 1}")
         front = state.where("fresh").join(links, F.col("id") == F.col("at")).select("query_id", F.explode("to").alias("id")).distinct()
         new = front.join(state, ["query_id", "id"], "left_anti")
         met = work.save(measure(new).withColumn("fresh", F.lit(True)), f"{label}-m{turn}")
