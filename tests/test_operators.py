@@ -81,6 +81,15 @@ def test_resolver(spark):
     assert got == {i: (j, m) for i, (_, _, j, m) in enumerate(said)}
 
 
+def test_resolver_keeps_names_out_of_the_driver(spark):
+    rulings = spark.createDataFrame(RULINGS, "id long, petitioner string, respondent string, date_of_judgment string, judgment_text string").withColumn("citations", F.lit(None).cast("string"))
+    mentions = spark.createDataFrame([("1", "1951 AIR 318", 1), ("2", "1951 AIR 318", 2), ("3", "State of Bombay v. F. N. Balsara", None)], "mention_id string, cited_text string, source_id long")
+    years = rulings.select("id", F.substring("date_of_judgment", 1, 4).cast("int").alias("year"))
+    found = resolver.resolve(spark, mentions, resolver.alias_table(rulings), years)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in found.collect()} == {("1", None, "self", 100.0), ("2", 1, "reporter", 100.0), ("3", 1, "exact_name", 100.0)}
+
+
 def test_dense_topk_ties_and_empties(spark):
     vec = spark.createDataFrame([(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 1.0]), (4, [0.0, 0.0]), (5, None)], "id long, v array<float>")
     got = retrieval.dense_topk(spark, vec.where("id = 1"), vec, 2, 0.2).orderBy("rank").collect()
