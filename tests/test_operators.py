@@ -210,3 +210,27 @@ def test_marks_and_sources(spark):
     assert [r["id"] for r in chat.cited_marks(said, got).orderBy("position").collect()] == [20, 30]
     rows = spark.createDataFrame([(1, 1, "judgment", "A v. B", "C", 1950, None), (1, 2, "statute", "Constitution of X", None, None, "21"), (1, 3, "judgment", "A v. B", "C", 1950, None)], "query_id long, rank int, doc_type string, case string, court string, year int, section_number string")
     assert [r["label"] for r in context.source_labels(rows).orderBy("position").collect()] == ["A v. B (C, 1950)", "Constitution of X, Art. 21"]
+
+
+def test_names_are_searched_in_blocks(spark, monkeypatch):
+    import random
+    import re
+
+    from docketloom.operators import similar
+
+    monkeypatch.setattr(similar, "NAMES_A_BLOCK", 50)
+    monkeypatch.setattr(similar, "LEAST_QUERIES", 10)
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abe") for _ in range(rng.randint(2, 5)))
+    names = sorted({f"{word()} {word()} v {word()}" for _ in range(200)})
+    asked = sorted({f"{word()} v {word()}" for _ in range(40)})
+    pieces = lambda s: {f"  {w} "[i : i + 3] for w in re.findall("[a-z0-9]+", s) for i in range(len(w) + 1)}
+    likeness = {(q, n): len(pieces(q) & pieces(n)) / len(pieces(q) | pieces(n)) for q in asked for n in names}
+    frame = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "alias_norm string, judgment_id long")
+    queries = spark.createDataFrame([(q,) for q in asked], "norm string")
+    found = {(r["norm"], r["alias_norm"]): r["shared"] / r["together"] for r in similar.near_names(queries, frame, 0.3, 10_000).collect()}
+    assert found == {k: v for k, v in likeness.items() if v > 0.3}
+    few = {(r["norm"], r["alias_norm"]) for r in similar.near_names(queries, frame, 0.3, 5).collect()}
+    assert len(few) < len(found)
+    rank = lambda q, some: sorted(some, key=lambda n: (-round(100 * likeness[q, n], 1), n))[:5]
+    assert all(rank(q, [n for a, n in few if a == q]) == rank(q, [n for a, n in found if a == q]) for q in asked)
