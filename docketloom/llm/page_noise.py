@@ -15,11 +15,10 @@ decoded, each distinct stretch once, so the work follows the vocabulary and
 not the length of the corpus. Paragraphs of the repaired text are chosen by
 dynamic programming over the lines.
 
-The lexicon that is broadcast holds the ``LEXICON`` most frequent words. Rarer
-words are looked up by joins with the counts of all words of all texts: how
-often a token of a stretch occurs, and what a single confusion, a merge or a
-hyphen makes of it. Beyond the lexicon lie only readings through two confusions and
-cuts into several words, as both assume frequent words.
+The lexicon holds every word of ``LEAST_COUNT`` or more. The ``LEXICON`` most frequent are
+broadcast; where there are more, all lie sorted in a file that every executor fetches and
+its workers map, so a reading, a cut, a merge or a join may lead to any of them and what a
+process holds stays bounded. How often the other tokens of a stretch occur is told by a join.
 
 Defined results
 * null and empty texts have no cases and stay as they are;
@@ -31,14 +30,23 @@ Defined results
 
 from __future__ import annotations
 
+import atexit
+import mmap
+import os
 import re
+import shutil
+import struct
+import tempfile
+import uuid
 from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from math import log
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -140,6 +148,94 @@ class Lexicon(dict):
     def price(self, count: int) -> float:
         return log((self.total + 1) / max(count, 1))
 
+    def counted(self, least: int) -> Callable[[str, int], int]:
+        """``get`` for those who heed counts of ``least`` and more only."""
+        return self.get
+
+
+class WordFile:
+    """Words and counts in a file, sorted by their bytes; it is mapped, not loaded, and bits by hash answer for most words that aren't there."""
+
+    HEAD = struct.Struct("<qqq")  # words, bits of the hash, bytes of all words
+
+    def __init__(self, name: str):
+        self.name, self._at = name, None
+
+    def __getstate__(self):
+        return {"name": self.name, "_at": None}
+
+    @classmethod
+    def write(cls, path: str, rows: Iterable[tuple[str, int]], number: int) -> None:
+        """``rows``: (word, count) in the order of their bytes, ``number`` of them; one row is held at a time."""
+        width = max(10, (16 * number).bit_length())
+        bits = np.zeros(1 << (width - 3), np.uint8)
+        with open(path, "wb") as out, open(path + ".n", "w+b") as counts, open(path + ".w", "w+b") as words:
+            out.write(cls.HEAD.pack(number, width, 0))
+            end = 0
+            out.write(struct.pack("<q", 0))
+            for word, n in rows:
+                raw = word.encode("utf-8", "surrogatepass")
+                h = crc32(raw) & ((1 << width) - 1)
+                bits[h >> 3] |= 1 << (h & 7)
+                words.write(raw)
+                end += len(raw)
+                out.write(struct.pack("<q", end))
+                counts.write(struct.pack("<q", n))
+            for part in (counts, words):
+                if part is words:
+                    out.write(bits.tobytes())
+                part.seek(0)
+                shutil.copyfileobj(part, out)
+            out.seek(0)
+            out.write(cls.HEAD.pack(number, width, end))
+        os.remove(path + ".n")
+        os.remove(path + ".w")
+
+    def _open(self):
+        path = self.name if os.path.isabs(self.name) else SparkFiles.get(self.name)
+        with open(path, "rb") as f:
+            mapped = memoryview(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
+        number, width, size = self.HEAD.unpack(mapped[: self.HEAD.size])
+        a = self.HEAD.size
+        b = a + 8 * (number + 1)
+        c = b + 8 * number
+        d = c + (1 << (width - 3))
+        self._at = number, (1 << width) - 1, mapped[a:b].cast("q"), mapped[b:c].cast("q"), mapped[c:d], mapped[d : d + size]
+        return self._at
+
+    def get(self, word: str) -> int:
+        """The word's count, 0 if it isn't there."""
+        number, mask, ends, counts, bits, words = self._at or self._open()
+        raw = word.encode("utf-8", "surrogatepass")
+        h = crc32(raw) & mask
+        if not bits[h >> 3] >> (h & 7) & 1:
+            return 0
+        lo, hi = 0, number
+        while lo < hi:
+            middle = (lo + hi) // 2
+            if words[ends[middle] : ends[middle + 1]].tobytes() < raw:
+                lo = middle + 1
+            else:
+                hi = middle
+        return counts[lo] if lo < number and words[ends[lo] : ends[lo + 1]] == raw else 0
+
+
+class WholeLexicon(Lexicon):
+    """A lexicon whose less frequent words lie in a file; none of them is more frequent than the words held."""
+
+    def __init__(self, counts: dict[str, int], total: int, file: WordFile, lengths: set[int], floor: int):
+        super().__init__(counts, total)
+        self.file, self.lengths, self.floor = file, lengths, floor
+
+    def get(self, word: str, default: int = 0) -> int:
+        return super().get(word) or self.file.get(word) or default
+
+    def __contains__(self, word: str) -> bool:
+        return super().__contains__(word) or self.file.get(word) > 0
+
+    def counted(self, least: int) -> Callable[[str, int], int]:
+        return super().get if least > self.floor else self.get
+
 
 def strange(word: str) -> bool:
     return any(c.isdigit() or c in "!|$@ﬁﬂﬀ" for c in word)
@@ -155,11 +251,13 @@ def read(word: str, own: int, lexicon: Lexicon) -> tuple[float, str] | None:
     if not lexicon.reachable(len(word), 1):
         return None
     least = max(LEAST_COUNT, own * (1 if strange(word) else RATIO))
-    best = max(((lexicon.get(w, 0), w) for w in readings(word)), default=(0, ""))
+    get = lexicon.counted(least)
+    best = max(((get(w, 0), w) for w in readings(word)), default=(0, ""))
     if best[0] >= least:
         return lexicon.price(best[0]) + log(least / max(own, 1)), best[1]
     if 5 <= len(word) <= LONGEST_TWICE and lexicon.reachable(len(word), 2):
-        second = max(((lexicon.get(w, 0), w) for r in readings(word) for w in readings(r) if w != word), default=(0, ""))
+        get = lexicon.counted(4 * least)
+        second = max(((get(w, 0), w) for r in readings(word) for w in readings(r) if w != word), default=(0, ""))
         if second[0] >= 4 * least:
             return lexicon.price(second[0]) + log(4 * least / max(own, 1)), second[1]
     return None
@@ -170,12 +268,13 @@ def cut(word: str, lexicon: Lexicon) -> tuple[float, str] | None:
     n, longest = len(word), min(24, max(lexicon.lengths, default=0))
     if n < 5:
         return None
+    get = lexicon.counted(50 * RATIO)
     best: list[tuple[float, int]] = [(0.0, 0)] + [(float("inf"), 0)] * n
     for i in range(n):
         if best[i][0] == float("inf"):
             continue
         for j in range(i + 2, min(n, i + longest) + 1):
-            count = lexicon.get(word[i:j], 0)
+            count = get(word[i:j], 0)
             if count >= 50 * RATIO and not (i == 0 and j == n):
                 cost = best[i][0] + lexicon.price(count) + (CUT if i else 0.0)
                 if cost < best[j][0]:
@@ -225,10 +324,10 @@ def needed(stretch: str, lexicon: Lexicon) -> list[str]:
     return sorted(out)
 
 
-def decode(stretch: str, lexicon: Lexicon, known: dict[str, int], rare: dict[str, tuple[float, str]]) -> list[tuple[int, int, str]]:
+def decode(stretch: str, lexicon: Lexicon, known: dict[str, int]) -> list[tuple[int, int, str]]:
     """The cheapest path through a stretch: (first token, last token, word or words) of every edge that changes it.
 
-    ``known``: counts of its forms beyond the lexicon; ``rare``: their readings as words beyond the lexicon.
+    ``known``: counts of its forms beyond the lexicon.
     """
     tokens, seps = (p := _parts.split(stretch))[::2], p[1::2]
     n = len(tokens)
@@ -246,7 +345,7 @@ def decode(stretch: str, lexicon: Lexicon, known: dict[str, int], rare: dict[str
         own = count(token)
         edge(i, i + 1, lexicon.price(own), None)
         if not (joined or i and seps[i - 1] == HYPHEN):
-            options = [read(token, own, lexicon), rare.get(token), cut(token, lexicon) if own <= 2 and not strange(token) else None]
+            options = [read(token, own, lexicon), cut(token, lexicon) if own <= 2 and not strange(token) else None]
             for option in options:
                 if option:
                     edge(i, i + 1, *option)
@@ -265,10 +364,20 @@ def decode(stretch: str, lexicon: Lexicon, known: dict[str, int], rare: dict[str
 
 
 # ---------------------------------------------------------------- vocabulary
-def _lexicon(counts: DataFrame) -> dict[str, int]:
-    """The most frequent words; at most LEXICON rows come to the driver."""
-    rows = counts.where(F.col("n") >= LEAST_COUNT).orderBy(F.desc("n"), "word").limit(LEXICON).toArrow()
-    return dict(zip(rows.column("word").to_pylist(), rows.column("n").to_pylist(), strict=True))
+def _lexicon(spark: SparkSession, words: DataFrame, total: int) -> Lexicon:
+    """All ``words`` (word, n): at most LEXICON + 1 rows come to the driver; where there are more, the whole table passes it row by row to a file."""
+    rows = words.orderBy(F.desc("n"), "word").limit(LEXICON + 1).toArrow()
+    top = dict(zip(rows.column("word").to_pylist(), rows.column("n").to_pylist(), strict=True))
+    if len(top) <= LEXICON:
+        return Lexicon(top, total)
+    _, floor = top.popitem()
+    folder = tempfile.mkdtemp(prefix="docketloom-words-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # executors fetch it as long as the application runs
+    path = os.path.join(folder, f"words-{uuid.uuid4().hex}")
+    WordFile.write(path, words.select("word", "n").orderBy("word").toLocalIterator(), words.count())
+    spark.sparkContext.addFile(path)
+    lengths = {r["n"] for r in words.select(F.length("word").alias("n")).distinct().collect()}  # one value per length of a word
+    return WholeLexicon(top, total, WordFile(os.path.basename(path)), lengths, floor)
 
 
 def _misread(counts: DataFrame, lexicon: Lexicon) -> DataFrame:
@@ -282,21 +391,6 @@ def _misread(counts: DataFrame, lexicon: Lexicon) -> DataFrame:
     return counts.select("word", "n").mapInArrow(run, "word string, n long")
 
 
-def _rare_readings(counts: DataFrame, lexicon: Lexicon, tokens: DataFrame) -> DataFrame:
-    """(word, reading, m): the most frequent word beyond the lexicon that one confusion turns into the word, found by a join."""
-    beyond = counts.where(F.col("n") >= LEAST_COUNT)
-
-    def run(batches):
-        for batch in batches:
-            for word, own in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist(), strict=True):
-                least = max(LEAST_COUNT, own * (1 if strange(word) else RATIO))
-                some = sorted({r for r in readings(word) if r not in lexicon})
-                yield pa.RecordBatch.from_arrays([pa.array([word] * len(some), pa.string()), pa.array([least] * len(some), pa.int64()), pa.array(some, pa.string())], names=["word", "least", "reading"])
-
-    met = tokens.mapInArrow(run, "word string, least long, reading string").join(beyond.select(F.col("word").alias("reading"), F.col("n").alias("m")), "reading").where("m >= least")
-    return met.groupBy("word").agg(F.max_by("reading", F.struct("m", "reading")).alias("reading"), F.max("m").alias("m"))
-
-
 # ---------------------------------------------------------------- stream
 def body_lines(lines: list[str]) -> Iterator[tuple[int, str, bool]]:
     """(index, text, after a gap) of the lines of the stream: no furniture, title, blank lines or margin marks."""
@@ -370,7 +464,7 @@ def stretches(lines: list[str], odd: dict[str, str]) -> Iterator[tuple[str, list
 class _Odd(dict):
     """Raw token to its bare form; '' for words of the lexicon."""
 
-    def __init__(self, known: frozenset[str]):
+    def __init__(self, known: Lexicon):
         super().__init__()
         self.known = known
 
@@ -383,10 +477,8 @@ class _Odd(dict):
 
 
 def _traces(rows: DataFrame, lexicon: Lexicon, marks: bool) -> DataFrame:
-    known = frozenset(lexicon)
-
     def run(batches):
-        odd = _Odd(known)
+        odd = _Odd(lexicon)
         need: dict[str, list[str]] = {}
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("id", "line_no", "noise", "stretch", "need", "lines", "places")}
@@ -420,30 +512,25 @@ def _decoded(spark: SparkSession, rows: DataFrame, work: Workspace, marks: bool)
     """The traces found in all texts, and of every distinct stretch the edges that change it: (stretch, fixes)."""
     counts = work.save(word_counts(rows), "counts")
     total = counts.agg(F.sum("n")).first()[0] or 0
-    top = Lexicon(_lexicon(counts), total)
-    floor = min(top.values(), default=0)
+    words = counts.where(F.col("n") >= LEAST_COUNT)
+    whole = _lexicon(spark, words, total)
     # words of the lexicon that are themselves misreadings of far more frequent ones
-    plain = counts.where(~F.col("word").endswith("-"))
-    bad = set(_misread(plain.where(F.col("n") >= max(floor, LEAST_COUNT)).repartition(spread(spark), "word"), top).where(F.col("n") >= floor).select("word").toArrow().column("word").to_pylist())  # words of the lexicon, and those as frequent as its last
-    sound = Lexicon({w: n for w, n in top.items() if w not in bad}, total)
+    misread = _misread(words.where(~F.col("word").endswith("-")).repartition(spread(spark), "word"), whole).select("word")
+    if isinstance(whole, WholeLexicon):
+        sound = _lexicon(spark, work.save(words.join(misread, "word", "left_anti"), "sound"), total)
+    else:
+        bad = set(misread.toArrow().column("word").to_pylist())  # at most LEXICON rows
+        sound = Lexicon({w: n for w, n in whole.items() if w not in bad}, total)
     found = work.save(_traces(rows, sound, marks), "found")
     stretch = found.where("stretch is not null").groupBy("stretch").agg(F.first("need").alias("need"))
     asked = stretch.select("stretch", F.explode("need").alias("word"))
-    info = counts
-    if len(top) == LEXICON:
-        odd = plain.join(asked.select("word").distinct(), "word", "left_semi")
-        info = info.join(work.save(_rare_readings(plain, top, odd), "rare"), "word", "left")
-    else:
-        info = info.withColumn("reading", F.lit(None).cast("string")).withColumn("m", F.lit(None).cast("long"))
-    told = asked.join(info, "word").groupBy("stretch").agg(F.collect_list(F.struct("word", "n", "reading", "m")).alias("info"))
+    told = asked.join(counts, "word").groupBy("stretch").agg(F.collect_list(F.struct("word", "n")).alias("info"))
 
     def run(batches):
         for batch in batches:
             names, fixes = [], []
             for text, info in zip(batch.column("stretch").to_pylist(), batch.column("info").to_pylist(), strict=True):
-                info = info or []
-                rare = {x["word"]: (sound.price(x["m"]) + (0.0 if strange(x["word"]) else log(RATIO)), x["reading"]) for x in info if x["reading"]}
-                path = decode(text, sound, {x["word"]: x["n"] for x in info}, rare)
+                path = decode(text, sound, {x["word"]: x["n"] for x in info or []})
                 if path:
                     names.append(text)
                     fixes.append([{"first": a, "last": b, "word": w} for a, b, w in path])

@@ -94,3 +94,19 @@ def test_long_tokens(spark):
     word = "l" * 60 + "ong" + "m" * 300
     df = spark.createDataFrame([(1, (word + " and ") * 50 + "\n" + word[:-1] + "rn and")], "id long, judgment_text string")
     assert [tuple(r) for r in page_noise.traces(spark, df).collect()] == [(1, 2, "misread", word)]
+
+
+def test_lexicon_is_whole(spark, monkeypatch, tmp_path):
+    noisy = SCAN + "\nthe tcnarnt of thestaternent be fore the court and the state\nment was com mon, the rnattcr of the tcnant\nand the tenantof the staternemt."
+    many = [(i, ("of the appeal before " * 1300 if i == 1 else "") + (CLEAN + " co-operative appeal before matter tenant\n") * 500) for i in range(1, 4)]
+    df = spark.createDataFrame([*many, (9, noisy)], "id long, judgment_text string")
+    found = []
+    for words in (200_000, 4, 1):
+        monkeypatch.setattr(page_noise, "LEXICON", words)
+        found.append(({tuple(r) for r in page_noise.traces(spark, df).collect()}, {tuple(r) for r in page_noise.repair_texts(spark, df).collect()}))
+    assert found[0][0] and found[1] == found[0] and found[2] == found[0]
+
+    words = sorted(((w, n) for n, w in enumerate({"aé", "b", "zz", "", "é", *(f"w{i}" for i in range(500))}, 3)), key=lambda x: x[0].encode())
+    page_noise.WordFile.write(str(tmp_path / "words"), iter(words), len(words))
+    file = page_noise.WordFile(str(tmp_path / "words"))
+    assert all(file.get(w) == n for w, n in words) and not any(file.get(w) for w in ("a", "w500", "zzz", "ée"))
