@@ -43,6 +43,7 @@ from docketloom.workspace import Workspace, spread
 CAPACITY = 2_048
 SHARD_ITEMS = 3_000
 PROBES = 5
+TEXTS_AT_ONCE = 1_000
 SAMPLE = 16_384
 MOST_CELLS = 2_048
 WIDTH, SIGNS = 256, 8  # of the random projection
@@ -88,19 +89,36 @@ def _unpacked(rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return counts, run - np.repeat(before, counts), _numbers(rows.column("tf"), np.uint16)[1].astype(np.float32)
 
 
+def _packed(numbers: np.ndarray, stop: np.ndarray) -> pa.Array:
+    """A binary column of rows of numbers; row i holds those from ``stop[i]`` to ``stop[i + 1]``."""
+    return pa.Array.from_buffers(pa.binary(), len(stop) - 1, [None, pa.py_buffer((stop * numbers.itemsize).astype(np.int32).tobytes()), pa.py_buffer(numbers.tobytes())])
+
+
 def items_of(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER) -> DataFrame:
     """Pieces to place: (doc_id, copy, start, n, steps, tf); full pieces carry no tokens."""
 
     def run(batches):
-        for batch in batches:
-            rows = []
-            for doc, copy, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "copy", "text")), strict=True):
+        for batch in (b.slice(lo, TEXTS_AT_ONCE) for b in batches for lo in range(0, b.num_rows, TEXTS_AT_ONCE)):
+            size, tails = np.zeros(batch.num_rows, np.int64), []
+            for i, text in enumerate(batch.column("text").to_pylist()):
                 ids = encode_array(text, tokenizer)
-                for lo in range(0, len(ids), capacity):
-                    part = ids[lo : lo + capacity]
-                    terms, tf = np.unique(part, return_counts=True) if len(part) < capacity else (part[:0], part[:0])
-                    rows.append((doc, copy, lo, len(part), np.diff(terms, prepend=terms.dtype.type(0)).astype(STEP).tobytes(), tf.astype(np.uint16).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64() if k < 4 else pa.binary()) for k in range(6)], names=[*KEY, "n", "steps", "tf"])
+                size[i] = len(ids)
+                tails.append(ids[len(ids) - len(ids) % capacity :].astype(np.int64))
+            pieces = -(-size // capacity)
+            owner = np.repeat(np.arange(len(size)), pieces)
+            start = (np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * capacity
+            # full pieces carry no terms; those of all last pieces are sorted at once
+            last = np.repeat(np.cumsum(pieces) - 1, size % capacity)
+            key = np.sort(last * VOCABULARY + np.concatenate(tails))
+            at = np.flatnonzero(np.diff(key, prepend=-1))
+            of, term = np.divmod(key[at], VOCABULARY)
+            tf = np.diff(at, append=len(key)).astype(np.uint16)
+            step = np.diff(term, prepend=0)
+            first = np.flatnonzero(np.diff(of, prepend=-1))
+            step[first] = term[first]
+            stop = np.concatenate(([0], np.cumsum(np.bincount(of, minlength=len(owner)))))
+            take = pa.array(owner)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("copy").take(take), pa.array(start, pa.int64()), pa.array(np.minimum(size[owner] - start, capacity), pa.int64()), _packed(step.astype(STEP), stop), _packed(tf, stop)], names=[*KEY, "n", "steps", "tf"])
 
     return documents.mapInArrow(run, ITEMS)
 

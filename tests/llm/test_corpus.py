@@ -189,3 +189,14 @@ def test_more_than_eight_languages():
     for k, c in ((k, chr(97 + k)) for k in (0, 7, 8, 16, 18)):
         language, row = quality.statistics(f"Some word{c}x and other{c}y of it, word{c}x again.", list(common), tokens)
         assert language == f"l{k:02}" and row[quality.STATISTICS.index("common_share")] > 0.3
+
+
+def test_items_of_a_batch_are_those_of_single_texts(spark, monkeypatch):
+    monkeypatch.setattr(packing, "TEXTS_AT_ONCE", 7)
+    df, _ = corpus(spark, 40)
+    base = df.where("text is not null").withColumn("copy", F.lit(1).cast("long"))
+    for row in packing.items_of(base, 64).join(base.select("doc_id", F.col("text")), "doc_id").where("doc_id > 0").collect():
+        part = encode(row["text"])[row["start"] : row["start"] + 64]
+        terms, tf = np.unique(part, return_counts=True) if len(part) < 64 else ([], [])
+        assert row["n"] == len(part)
+        assert np.cumsum(np.frombuffer(row["steps"], packing.STEP), dtype=np.int64).tolist() == list(terms) and np.frombuffer(row["tf"], np.uint16).tolist() == list(tf)
