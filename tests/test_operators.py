@@ -1,5 +1,7 @@
 """Operators on small tables with known results, nulls and ties included."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,6 +92,52 @@ def test_resolver_keeps_names_out_of_the_driver(spark):
     assert {tuple(r) for r in found.collect()} == {("1", None, "self", 100.0), ("2", 1, "reporter", 100.0), ("3", 1, "exact_name", 100.0)}
 
 
+def _resolved(spark, rulings, said):
+    """(judgment_id, method, score) per text, in the order of the texts."""
+    cases = spark.createDataFrame(rulings, "id long, petitioner string, respondent string, date_of_judgment string").withColumn("judgment_text", F.lit(None).cast("string")).withColumn("citations", F.lit(None).cast("string"))
+    mentions = spark.createDataFrame([(str(i), t, None) for i, t in enumerate(said)], "mention_id string, cited_text string, source_id long")
+    years = cases.select("id", F.substring("date_of_judgment", 1, 4).cast("int").alias("year"))
+    found = resolver.resolve(spark, mentions, resolver.alias_table(cases), years).collect()
+    return [tuple(r)[1:] for r in sorted(found, key=lambda r: int(r["mention_id"]))]
+
+
+def test_resolver_common_words(spark):
+    crowd = [(100 + i, f"State of Zorabad Pilot{i}", f"Harivela Weaver{i} Salt Dyer{i}", "1950-01-01") for i in range(230)]
+    aim = [(1, "State of Zorabad", "Harivela Mills Ltd.", "1961-01-01"), (2, "Harivela Mills", "Zorabad", "1961-01-01"), (3, "Zorabad", "Harivela Salt Timber", "1980-01-01"), (4, "Zorabad", "Harivela Salt Timber", "1985-01-01")]
+    got = _resolved(spark, crowd + aim, ["Zorabad v. Harivela", "Zorabad v. Harivela (1985)", "Zorabad v. Harivela Salt", "Zorabad v. Harivela Salt (1984)", "Zorabad v. Harivela Salt (1985)", "Zorabad v. Harivela (1970)", "Salt v. Zorabad"])
+    full, part = 100.0 * 2 / 3, 100.0 * 3 / 4
+    assert got == [(1, "fuzzy", full), (4, "fuzzy", 50.0), (None, "ambiguous", part), (4, "fuzzy", part), (4, "fuzzy", part), (None, "unresolved", 0.0), (None, "unresolved", 0.0)]
+
+
+def test_resolver_against_every_name(spark):
+    rng = random.Random(5)
+    words = ["arun", "bela", "chitra", "devi", "esha", "farid", "gopal", *(f"rare{x}" for x in "abcdefgh")]
+    weights = [9] * 7 + [1] * 8
+    side = lambda most: list(dict.fromkeys(rng.choices(words, weights, k=rng.randint(1, most))))
+    names = [(i, side(5), side(5), rng.choice([None, *range(1960, 1966)])) for i in range(900)]
+    asked = [(side(3), side(3), rng.choice([None, *range(1959, 1968)])) for _ in range(200)]
+    whole = lambda a, b: " ".join([*a, "v", *b])
+    want = []
+    for cp, cr, year in asked:
+        text, best, ids = f" {whole(cp, cr)} ", 0.0, {}
+        inside = {whole(a, b) for _, a, b, _ in names if f" {whole(a, b)} " in text}
+        for i, a, b, y in names:
+            if inside:
+                fits, score = whole(a, b) == max(inside, key=len), 100.0
+            else:
+                fits = len({*cp, *cr}) >= 2 and {*cp} <= {*a} and {*cr} <= {*b} and 3 * len(cp) >= len(a) and 3 * len(cr) >= len(b) and (None in (year, y) or abs(y - year) <= 1)
+                score = 100.0 * len({*cp, *cr}) / len({*a, *b})
+            if fits and score >= best:
+                best, ids = score, {**(ids if score == best else {}), i: y}
+        same = [i for i, y in ids.items() if year is not None and y == year]
+        one = next(iter(ids)) if len(ids) == 1 else same[0] if len(same) == 1 else None
+        want.append((one, "unresolved" if not ids else "ambiguous" if one is None else "exact_name" if inside else "fuzzy", best))
+    rulings = [(i, " ".join(a).title(), " ".join(b).title(), None if y is None else f"{y}-01-01") for i, a, b, y in names]
+    got = _resolved(spark, rulings, [f"{' '.join(cp).title()} v. {' '.join(cr).title()}" + (f" ({year})" if year else "") for cp, cr, year in asked])
+    assert got == want
+    assert {m for _, m, _ in want} == {"fuzzy", "exact_name", "ambiguous", "unresolved"}
+
+
 def test_dense_topk_ties_and_empties(spark):
     vec = spark.createDataFrame([(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 1.0]), (4, [0.0, 0.0]), (5, None)], "id long, v array<float>")
     got = retrieval.dense_topk(spark, vec.where("id = 1"), vec, 2, 0.2).orderBy("rank").collect()
